@@ -24,10 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from wattroute.llm.cache import Cache
 from wattroute.llm.common import table, texts
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 150_000  # pieces, and words, in each of two generations
+CACHED = 200_000  # pieces, and words, in each of two generations
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -38,25 +39,6 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
-class Generations:
-    """A cache that keeps between one and two times ``size`` of the latest entries."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value):
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
-
-
 class Bpe:
     """Encoder and decoder of one vocabulary file; the patterns are those the file states."""
 
@@ -66,76 +48,78 @@ class Bpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.left, self.right = [self.vocab[a] for a, _ in pairs], [self.vocab[b] for _, b in pairs]
+        self.joined = [self.vocab[a + b] for a, b in pairs]
+        self.ranks = {a << 32 | b: rank for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.letters = byte_letters()
+        self.inner = [self.vocab[c] for c in byte_letters()]
+        self.last = [self.vocab[c + self.suffix] for c in byte_letters()]
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.pieces, self.words = Generations(cached), Generations(cached)
+        self.pieces, self.words = Cache(cached), Cache(cached)
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word by merges in order of rank, leftmost first."""
-        symbols: list[str | None] = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.suffix
+        """Ids of one word by merges in order of rank, leftmost first.
+
+        Queue entries are rank << 32 | position; an entry is stale if the symbols there are no longer its pair.
+        """
+        raw = word.encode()
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(rank, i, pair) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := ranks.get(pair)) is not None]
+        rank_of, left, right, joined = self.ranks.get, self.left, self.right, self.joined
+        queue = [rank << 32 | i for i in range(n - 1) if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapify(queue)
         while queue:
-            _, i, pair = heappop(queue)
+            entry = heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] != pair[0] or j < 0 or symbols[j] != pair[1]:
+            if symbols[i] != left[rank] or j < 0 or symbols[j] != right[rank]:
                 continue  # stale
-            symbols[i], symbols[j] = pair[0] + pair[1], None
+            symbols[i], symbols[j] = joined[rank], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                pair = (symbols[i], symbols[k])
-                if (rank := ranks.get(pair)) is not None:
-                    heappush(queue, (rank, i, pair))
-            if (k := before[i]) >= 0:
-                pair = (symbols[k], symbols[i])
-                if (rank := ranks.get(pair)) is not None:
-                    heappush(queue, (rank, k, pair))
-        return [self.vocab[s] for s in symbols if s is not None]
-
-    def piece(self, piece: str) -> tuple[int, bytes, str]:
-        """(number of ids, ids in decimal, decoded text) of a piece between single spaces."""
+                if (rank := rank_of(symbols[i] << 32 | symbols[k])) is not None:
+                    heappush(queue, rank << 32 | i)
+            if (k := before[i]) >= 0 and (rank := rank_of(symbols[k] << 32 | symbols[i])) is not None:
+                heappush(queue, rank << 32 | k)
+        return [s for s in symbols if s >= 0]
+
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        """(ids in decimal, decoded text) of a piece between single spaces; both empty if it holds no token."""
         if piece.isascii():
             text = piece.lower()
         else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
         ids: list[int] = []
         for word in self.word.findall(text):
             got = self.words.get(word)
             ids += got if got is not None else self.words.put(word, self.merge(word))
-        return self.pieces.put(piece, (len(ids), b" ".join(b"%d" % i for i in ids), self.decode(ids)))
+        return self.pieces.put(piece, (b" ".join([b"%d" % i for i in ids]), self.decode(ids)))
 
-    def spans(self, text: str) -> list[tuple[int, bytes, str]]:
+    def spans(self, text: str) -> list[tuple[bytes, str]]:
         """What each piece of a text gives, in order, pieces without tokens left out."""
         if "<|" in text and (parts := self.cut.split(text))[1:]:
             out = []
             for k, part in enumerate(parts):
-                out += [(1, b"%d" % self.special[part], part)] if k % 2 else self.spans(part)
+                out += [(b"%d" % self.special[part], part)] if k % 2 else self.spans(part)
             return out
-        young, get, piece = self.pieces.young.get, self.pieces.get, self.piece
-        out = []
-        for p in text.replace("\n", " ").split(" "):
-            if p:
-                got = young(p)
+        pieces = text.replace("\n", " ").split(" ")
+        out = list(map(self.pieces.young.get, pieces))
+        if None in out:
+            get, piece = self.pieces.get, self.piece
+            for k, got in enumerate(out):
                 if got is None:
-                    got = get(p) or piece(p)
-                    young = self.pieces.young.get
-                if got[0]:
-                    out.append(got)
-        return out
+                    out[k] = get(pieces[k]) or piece(pieces[k])
+        return [x for x in out if x[0]]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.spans(text) for i in ids.split(b" ")]
+        return [int(i) for ids, _ in self.spans(text) for i in ids.split(b" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: vocabulary strings, joined by a space."""
@@ -168,9 +152,10 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             counts, hashes, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = bpe.spans(text)
-                counts.append(sum([s[0] for s in spans]))
-                hashes.append(hashlib.sha256(b" ".join([s[1] for s in spans])).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([s[2] for s in spans]).encode()).hexdigest())
+                ids = b" ".join([s[0] for s in spans])
+                counts.append(ids.count(b" ") + (ids != b""))
+                hashes.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(" ".join([s[1] for s in spans]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, SCHEMA)

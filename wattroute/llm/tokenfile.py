@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -33,7 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattroute.llm.bpe import Generations, vocabulary
+from wattroute.llm.bpe import vocabulary
+from wattroute.llm.cache import Cache
 from wattroute.llm.common import shared_dir, table, texts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,7 +44,8 @@ SAMPLE = 1000  # documents the dictionary is trained on
 DICTIONARY = 32 * 1024  # its bytes at most
 SHARD_DOCS, MAX_SHARDS = 16384, 10_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
-CACHED = 150_000
+CACHED = 400_000  # pieces in each of two generations
+ODD = re.compile(r" (?=\s|\Z)")  # a space that does not start a piece
 CUT = re.compile(r" (?=\S)")
 BLOCK = "shard int, block int, start bigint, first_id bigint, last_id bigint, dict_hash string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
 
@@ -61,30 +64,34 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache = Generations(CACHED)
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.first, self.cache = Cache(CACHED // 20), Cache(CACHED)
+
+    def known(self, cache: Cache, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of each piece (with ``lead`` before it); what the cache lacks goes to the library in one call."""
+        out = list(map(cache.young.get, pieces))
+        if None in out:
+            lacks: dict[str, list[int]] = {}
+            for k, got in enumerate(out):
+                if got is None and (got := cache.get(pieces[k])) is not None:
+                    out[k] = got
+                elif got is None:
+                    lacks.setdefault(pieces[k], []).append(k)
+            for (p, at), e in zip(lacks.items(), self.lib.encode_batch_fast([lead + p for p in lacks], add_special_tokens=False), strict=True):
+                got = cache.put(p, array(self.code, e.ids).tobytes())
+                for k in at:
+                    out[k] = got
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text and the end id, in the file's width."""
         end = np.array([END_ID], dtype=self.type).tobytes()
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            whole = [any(s in t for s in self.special) for t in some]
-            cut = [[] if w or not t else [f" {p}" if k else p for k, p in enumerate(CUT.split(t))] for t, w in zip(some, whole, strict=True)]
-            known, get = {}, self.cache.get
-            missing = []
-            for p in set().union(*cut):
-                got = get(p)
-                if got is None:
-                    missing.append(p)
-                else:
-                    known[p] = got
-            for p, e in zip(missing, self.lib.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[p] = self.cache.put(p, np.array(e.ids, dtype=self.type).tobytes())
-            for t, w, pieces in zip(some, whole, cut, strict=True):
-                if w:
-                    yield np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=self.type).tobytes() + end
-                else:
-                    yield b"".join([known[p] for p in pieces]) + end
+        for text in texts:
+            if "<|" in text and any(s in text for s in self.special):
+                yield array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes() + end
+                continue
+            first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
+            yield b"".join(self.known(self.first, [first], "")) + b"".join(self.known(self.cache, rest, " ")) + end
 
 
 @lru_cache(maxsize=1)
