@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from wattroute.llm import decontaminate, licenses
 from wattroute.llm.bpe import op10_bpe
+from wattroute.llm.decontaminate import op5_decontaminate
+from wattroute.llm.licenses import op8_licenses
 from wattroute.llm.simhash import op2_simhash
 from wattroute.llm.tokenfile import op7_tokenfile
 
 
 def queries():
-    found = [op2_simhash, op7_tokenfile, op10_bpe]
+    found = [op2_simhash, op5_decontaminate, op7_tokenfile, op8_licenses, op10_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"op5_decontaminate": decontaminate.SQL, "op8_licenses": licenses.SQL}
