@@ -56,7 +56,8 @@ def marks(df: DataFrame, keys: list[str], short: list[int], lead: bool) -> DataF
     none = F.array().cast("array<struct<n:int,p:int>>")
     whole = [F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), spot(n))).otherwise(none) for n in short]
     first = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"))) if lead else none
-    each = df.select(*keys, "words", "grams", F.explode(F.concat(first, F.transform("places", spot(WINDOW)), *whole)).alias("m"))
+    spots = df.withColumn("spots", F.concat(first, F.transform("places", spot(WINDOW)), *whole))  # a column of its own: the explode stays in generated code
+    each = spots.select(*keys, "words", "grams", F.explode("spots").alias("m"))
     fp = F.when(F.col("m.n") == WINDOW, F.get("grams", F.col("m.p")))
     for n in short:
         fp = fp.when(F.col("m.n") == n, gram_hash("words", F.col("m.p"), n))
