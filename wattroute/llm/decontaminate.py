@@ -56,8 +56,8 @@ def marks(df: DataFrame, keys: list[str], short: list[int], lead: bool) -> DataF
     none = F.array().cast("array<struct<n:int,p:int>>")
     whole = [F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), spot(n))).otherwise(none) for n in short]
     first = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"))) if lead else none
-    spots = df.withColumn("spots", F.concat(first, F.transform("places", spot(WINDOW)), *whole))  # a column of its own: the explode stays in generated code
-    each = spots.select(*keys, "words", "grams", F.explode("spots").alias("m"))
+    spots = df.withColumn("spots", F.concat(first, F.transform("places", spot(WINDOW)), *whole))  # a column of its own keeps the explode in generated code; _outer, as a filter on its size would repeat all this
+    each = spots.select(*keys, "words", "grams", F.explode_outer("spots").alias("m"))
     fp = F.when(F.col("m.n") == WINDOW, F.get("grams", F.col("m.p")))
     for n in short:
         fp = fp.when(F.col("m.n") == n, gram_hash("words", F.col("m.p"), n))
@@ -71,7 +71,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(f"n < {WINDOW}").distinct().collect())  # nine at most
     own = marks(winnowed(items), ["item_id"], short, lead=False).where(f"n = n_words or (n = {WINDOW} and n_words >= {WINDOW})")
-    own = own.select("item_id", "n", F.col("p").alias("q"), "fp", F.col("near").alias("item_near"))
+    own = own.where("p is not null").select("item_id", "n", F.col("p").alias("q"), "fp", F.col("near").alias("item_near"))
     small = own.count() <= BROADCAST
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("words"))

@@ -56,7 +56,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, copies, n_words and found: array of (base, label, start, end, score) spans, one row for each distinct text of an id."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("words"))
-    at = F.explode(F.sequence(F.lit(-1), F.greatest(F.size("words") - PHRASE_GRAM, F.lit(-1))))
+    at = F.explode_outer(F.sequence(F.lit(-1), F.greatest(F.size("words") - PHRASE_GRAM, F.lit(-1))))
     each = rows.select("doc_id", "text_hash", "words", F.size("words").alias("n_words"), at.alias("p"))
     get = lambda j: F.get("words", F.col("p") + j)
     pair = F.when(F.col("p") >= 0, F.xxhash64(get(0), get(1)))
