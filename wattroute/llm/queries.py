@@ -7,14 +7,16 @@ from wattroute.llm.bpe import op10_bpe
 from wattroute.llm.decontaminate import op5_decontaminate
 from wattroute.llm.langid import op1_langid
 from wattroute.llm.licenses import op8_licenses
+from wattroute.llm.lm import op4_lm
 from wattroute.llm.quality import op6_quality
+from wattroute.llm.secrets import op3_secrets
 from wattroute.llm.simhash import op2_simhash
 from wattroute.llm.tokenfile import op7_tokenfile
 from wattroute.llm.topk import op9_topk
 
 
 def queries():
-    found = [op1_langid, op2_simhash, op5_decontaminate, op6_quality, op7_tokenfile, op8_licenses, op9_topk, op10_bpe]
+    found = [op1_langid, op2_simhash, op3_secrets, op4_lm, op5_decontaminate, op6_quality, op7_tokenfile, op8_licenses, op9_topk, op10_bpe]
     return {f.__name__: f for f in found}
 
 
