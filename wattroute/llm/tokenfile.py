@@ -42,7 +42,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SAMPLE = 1000  # documents the dictionary is trained on
 DICTIONARY = 32 * 1024  # its bytes at most
-SHARD_DOCS, MAX_SHARDS = 16384, 10_000
+SHARD_DOCS, MAX_SHARDS = 2048, 10_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 CACHED = 400_000  # pieces in each of two generations
 ODD = re.compile(r" (?=\s|\Z)")  # a space that does not start a piece
