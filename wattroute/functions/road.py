@@ -33,3 +33,12 @@ def max_speed_kmh(maxspeed: Column) -> Column:
 def one_way(oneway: Column, junction: Column) -> Column:
     """1 forward only, -1 backward only, 0 both; a roundabout is forward only (a mere circle is not)."""
     return F.when(oneway.isin("yes", "true", "1"), 1).when(oneway == "-1", -1).when(junction == "roundabout", 1).otherwise(0)
+
+
+def guide_flags(highway: Column, junction: Column) -> Column:
+    """Class in bits 0-3 (1 fastest, 0 for other ways), link in bit 4, roundabout or circle in bit 5."""
+    kind, out = F.regexp_replace(highway, "_link$", ""), F.lit(0)
+    for k, (name, _) in enumerate(ROADS, 1):
+        out = F.when(kind == name, k).otherwise(out)
+    bit = lambda c, value: F.when(c, value).otherwise(0)
+    return out + bit(highway.endswith("_link"), 16) + bit(junction.isin("roundabout", "circular"), 32)
