@@ -67,6 +67,20 @@ def thin_trail(df: DataFrame, key: str, order: str, along: str, level: str, metr
     return _kept(df, key, order, keep)
 
 
+def thin_fixes(df: DataFrame, key: str, order: str, t: str, lat: str = "lat", lon: str = "lon", least_s: float = 0.5) -> DataFrame:
+    """Fixes of a recording: none before its start or without a valid place, then each at least ``least_s`` after the last kept."""
+
+    def keep(pdf: pd.DataFrame) -> np.ndarray:
+        out, last = np.zeros(len(pdf), dtype=bool), None
+        for i, x in enumerate(pdf[t]):
+            if last is None or x - last >= least_s:
+                out[i], last = True, x
+        return out
+
+    valid = (F.col(t) >= 0) & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & ((F.col(lat) != 0) | (F.col(lon) != 0))
+    return _kept(df.where(valid), key, order, keep)
+
+
 def downsample(df: DataFrame, key: str, order: str, along: str, step: float = STEP_M) -> DataFrame:
     """Rows that reach the next mark, which moves on by exactly one step each time, and the last row."""
 
