@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattroute.functions import road, rules
-from wattroute.operators import asof, feeds, guidance, routing, sequences
-from wattroute.plans.catalogue import _with, rounded
+from wattroute.operators import asof, feeds, graph, guidance, routing, sequences
+from wattroute.plans.catalogue import _hav, _with, rounded
 from wattroute.sources.views import table, view
 
 LIMIT_S = 180.0  # of the reach queries, a feature: an isochrone
@@ -147,9 +147,19 @@ def departures(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.posexplode("t").alias("place", "target"))
 
 
+def way_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Ways of nine nodes that share their ends, and every third of them crossed by a way of three nodes."""
+    nodes = view(spark, d, "v_node").withColumn("lat", F.col("lat") + F.col("node_id") % 3 * 0.001)
+    i = nodes.where("node_id % 8 = 1").select(F.col("node_id").alias("i"))
+    long = i.select("i", F.posexplode(F.sequence(F.col("i"), F.col("i") + 8)).alias("pos", "node_id"))
+    cross = i.where("i % 3 = 0").select((F.col("i") + 1000000000).alias("i"), F.posexplode(F.array(F.col("i") + 3, F.col("i") + 11, F.col("i") + 19)).alias("pos", "node_id"))
+    refs = long.unionByName(cross).select(F.col("i").alias("way_id"), "pos", "node_id", (F.col("i") % 5 % 3 - 1).alias("direction"))
+    return graph.way_edges(refs, nodes).select("src", "dst", "way_id", F.round("length_m", 5).alias("length_m"))
+
+
 QUERIES = [
     travel_reach, travel_matrix, route_nodes, display_rules, segment_distance, upcoming_step, soc_between, voice_prompts, guidance_steps, road_renames, junction_alternatives,
-    rule_overlaps, register_feed, point_feed, fetch_plan, recorded_fixes, leg_targets, departures,
+    rule_overlaps, register_feed, point_feed, fetch_plan, recorded_fixes, leg_targets, departures, way_graph,
 ]
 
 
@@ -197,5 +207,10 @@ ORACLE = {
         walk as (select trip_id, seq, k, t mark, true keep from p where k = 1 union all select p.trip_id, p.seq, p.k, case when p.t - mark >= 0.5::double then p.t else mark end, p.t - mark >= 0.5::double from walk join p on p.trip_id = walk.trip_id and p.k = walk.k + 1) select trip_id, seq from walk where keep""",
     "leg_targets": """with s as (select p_partkey // 200 plan, p_partkey site, p_partkey % 200 * 1700 + p_partkey % 3 * 900 pos from part), r as (select a.plan, a.site, b.site ahead, row_number() over (partition by a.plan, a.site order by b.pos, b.site) k from s a join s b on a.plan = b.plan and b.pos > a.pos + 20000)
         select plan, site, ahead from r where k <= 30""",
+    "way_graph": _with("v_node") + f""", n as (select node_id, lat + node_id % 3 * 0.001::double lat, lon from v_node), i as (select node_id i from v_node where node_id % 8 = 1), r as (select i w, k pos, i + k node_id from i, range(9) t(k) union all select i + 1000000000, k, i + 3 + 8 * k from i, range(3) t(k) where i % 3 = 0),
+        u as (select node_id, count(*) uses from r group by 1), p as (select w, pos, n.node_id, lat, lon, uses, row_number() over (partition by w order by pos) k, count(*) over (partition by w) m from r join u using (node_id) join n using (node_id)),
+        c as (select *, coalesce(sum(case when k = 1 or k = m or uses >= 2 then 1 else 0 end) over (partition by w order by k rows between unbounded preceding and 1 preceding), 0) piece from p),
+        e as (select b.w, b.piece, arg_min(a.node_id, b.k) src, arg_max(b.node_id, b.k) dst, sum({_hav('a', 'b')}) len from c b join c a on a.w = b.w and a.k = b.k - 1 group by 1, 2), f as (select * from e where src <> dst and len > 0)
+        select src, dst, w way_id, round(len, 5) length_m from f where w % 5 % 3 - 1 >= 0 union all select dst, src, w, round(len, 5) from f where w % 5 % 3 - 1 <= 0""",
     "departures": _with("v_charger") + ", t as (select distinct id, target from (select id, unnest([0.6::double, 0.7::double, 0.8::double, 0.9::double, round(max_power_kw / 500, 1)]) target from v_charger)) select id, cast(row_number() over (partition by id order by target) - 1 as integer) place, target from t",
 }
