@@ -69,6 +69,33 @@ def test_simhash(spark, docs, empty):
     assert 3 in kept and 4 not in kept and 6 not in kept and {0, 1, 2} <= set(kept)
 
 
+def test_near_copies_by_exact_similarity(spark):
+    draw = np.random.default_rng(5)
+    words = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]
+    rows, filler = [], "same old line of words in every text " * 400
+    for _ in range(60):  # a block of b new words at the end of n: similarity (n - b - 4) / (n + b - 4)
+        n = int(draw.integers(30, 120))
+        base = words(n)
+        for share in (0.095, 0.13, 0.2):
+            b = int(n * share)
+            rows.append(base[: n - b] + words(b))
+        rows.append(base)
+    texts = [" ".join(w) for w in rows] + [filler + " ".join(words(40)) for _ in range(20)]
+    base = words(400)
+    for i in range(150):  # one large group, partly by way of others
+        texts.append(" ".join(base[: 400 - i % 50] + words(i % 50)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and part[i] != part[j]:
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[0]), (900, " ")], "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id is not None)
+    assert got == [*sorted(set(part)), 900] and 100 < len(got) < len(texts)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a bigint, b bigint")
     got = dict(map(tuple, components(e).collect()))
