@@ -158,6 +158,17 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_repeated_rows(spark):
+    notice = licenses.NOTICES[5][0].split()
+    texts = ["under the MIT License", " ".join(["by mit license", *notice]), " ".join(notice[:6]), None]  # the third has too few votes
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    many = spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(i + 2)] + [(None, texts[0])] * 3, "doc_id bigint, text string")
+    rows = lambda df: {r.doc_id: (r.copies, sorted(map(tuple, r.found))) for r in licenses.scan(df).collect()}
+    one, got = rows(once), rows(many)
+    assert [len(one[i][1]) for i in range(4)] == [1, 2, 0, 0]
+    assert {i: got[i] for i in range(4)} == {i: (i + 2, one[i][1]) for i in range(4)} and got[None] == (3, one[0][1])
+
+
 def test_secrets(docs, empty):
     net = secrets.train(600)
     got = {r.doc_id: r for r in secrets.scan(docs, net).collect()}

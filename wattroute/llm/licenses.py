@@ -64,7 +64,9 @@ def scan(docs: DataFrame) -> DataFrame:
     each = each.select("doc_id", "text_hash", "n_words", "p", F.explode(F.array(pair, four)).alias("fp")).where("fp is not null or p < 0")
     votes = each.join(F.broadcast(templates(spark)), "fp", "left").where("q is not null or p < 0").withColumn("diagonal", F.col("p") - F.col("q"))
     keys = ["doc_id", "text_hash", "template", "base", "label", "grams"]
-    votes = votes.groupBy(*keys, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("start"), F.max("p").alias("last"), F.max("n_words").alias("n_words"))
+    # each position of a diagonal votes once, whatever the copies of the row: at most ``grams`` positions
+    agreed = F.when(F.col("template").isNull(), F.count(F.lit(1))).otherwise(F.size(F.collect_set("p"))).alias("votes")
+    votes = votes.groupBy(*keys, "diagonal").agg(agreed, F.min("p").alias("start"), F.max("p").alias("last"), F.max("n_words").alias("n_words"))
     # votes of the row that stands for the document itself (template null): two for each copy of the row
     w = Window.partitionBy(*keys).orderBy("diagonal")
     far = F.col("base") | F.col("template").isNull() | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(w), F.col("diagonal") - NEAR - 1) > NEAR)
