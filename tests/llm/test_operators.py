@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wattroute.llm import bpe, decontaminate, langid, licenses, lm, quality, secrets, simhash, tokenfile, topk
 from wattroute.llm.common import components
@@ -216,15 +217,28 @@ def test_trees_learn():
 def test_topk(spark):
     draw = np.random.default_rng(2)
     rows = [(i, [float(v) for v in draw.normal(0, 0.3, 8).astype(np.float32)]) for i in range(60)]
-    rows += [(60, None), (61, [1.0, None]), (62, [float("nan")]), (63, []), (64, rows[0][1]), (64, rows[0][1]), (80, [0.5])]
+    rows += [(60, None), (61, [1.0, None]), (62, [float("nan")]), (63, []), (64, rows[0][1]), (64, rows[0][1]), (80, [0.5]), (80, [0.5, -1.0]), (100, []), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     w = topk.weights(df)
-    got = collections.defaultdict(list)
-    for r in topk.search(w, w.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    v = [(i, [math.floor(x * 64) for x in e]) for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)]
-    for q, e in v:
+    got = sorted(map(tuple, topk.search(w, F.col("vec_id") % 20 == 0).collect()))
+    v = [(i, [math.floor(x * 64) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = []
+    for k, (q, e) in enumerate(v):
         if q % 20 == 0:
-            s = sorted(((i, sum(a * b for a, b in zip(e, f, strict=False))) for i, f in v if i != q), key=lambda t: (-t[1], t[0]))
-            assert got[q] == s[:20]
-    assert topk.search(w.where("false"), w.where("false")).count() == 0
+            s = sorted(((i, sum(a * b for a, b in zip(e, f, strict=False))) for j, (i, f) in enumerate(v) if j != k), key=lambda t: (-t[1], t[0]))
+            want += [(q, r + 1, i, x) for r, (i, x) in enumerate(s[:20])]
+    assert got == sorted(want) and len(want) == 20 * 6  # 0, 20, 40, two rows of 80, 100
+    assert topk.search(w.where("false"), F.lit(True)).count() == 0
+
+
+def test_topk_blocks_and_sparse_terms(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    draw = np.random.default_rng(3)
+    x = draw.integers(-3, 4, (300, 12)) * (draw.random((300, 12)) < 0.3)  # few distinct scores: many ties
+    x[0] = 1 << 40  # beyond 32 bits
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, v array<bigint>")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 5 == 0, 4).collect()))
+    s = x @ x.T
+    want = [(q, r + 1, i, int(s[q, i])) for q in range(0, 300, 5) for r, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-s[q, i], i))[:4])]
+    assert got == want
