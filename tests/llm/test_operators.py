@@ -170,21 +170,113 @@ def test_licenses_of_repeated_rows(spark):
     assert {i: got[i] for i in range(4)} == {i: (i + 2, one[i][1]) for i in range(4)} and got[None] == (3, one[0][1])
 
 
-def test_secrets(docs, empty):
-    net = secrets.train(600)
+@pytest.fixture(scope="module")
+def net():
+    return secrets.train()
+
+
+def test_secrets(docs, empty, net):
     got = {r.doc_id: r for r in secrets.scan(docs, net).collect()}
     assert got[8].kinds == ["assign", "access", "hex"] and not got[0].kinds and not got[3].kinds
+    assert secrets.scan(docs, net).where("doc_id = 3 and size(kinds) = 0").count() == 2  # repeated rows
     clean = {r.doc_id: r.text for r in secrets.redact(docs, net).collect()}
     assert KEY not in clean[8] and clean[0] is None and clean[3] == LONG
-    assert secrets.redact(empty, net).count() == 0
-
-
-def test_secret_network_on_new_findings():
-    net, draw = secrets.train(), np.random.default_rng(99)
-    found = [secrets.example(draw) for _ in range(500)]
-    x = np.frombuffer(b"".join(secrets.window(t, s, e) for t, s, e, _ in found), dtype=np.uint8).reshape(-1, secrets.WIDTH).astype(np.int64)
-    y, p = np.array([v for *_, v in found]), net.probability(x) >= net.threshold
-    assert p[y == 1].mean() > 0.95 and p[y == 0].mean() < 0.05
+    assert secrets.redact(empty, net).count() == 0 and secrets.scan(empty, net).count() == 0
+
+
+def test_secret_base_spans_by_brute_force(spark, tmp_path, net):
+    texts = [
+        None, "", "é password=abcdefgh token: short, API_KEY = 'aaaa1111'", "xAKIA" + "A" * 11, "AKIA" + "Z9" * 6 + "é " + "ab" * 16 + "f", "Secret\":\"" + "a.b-c=d/e+" + "\" passwd:12345678",
+        "pass\u212aword=abcdefgh", "tokentoken=12345678 apikey=ABCDEFGH.", "a" * 31 + "g" + "0" * 40, f"api_key: {'f0' * 20} AKIA{'B' * 20}",
+    ]
+    spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    word, allowed = ["password", "passwd", "secret", "token", "apikey", "api_key"], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assigns(t):
+        at, out = 0, []
+        while at < len(t):
+            end = None
+            for w in sorted(word, key=len, reverse=True):
+                if t[at : at + len(w)].lower() == w and t[at : at + len(w)].isascii():
+                    i = at + len(w)
+                    i += t[i : i + 1] in ("'", '"') and i < len(t)
+                    while t[i : i + 1] == " ":
+                        i += 1
+                    if t[i : i + 1] not in (":", "="):
+                        continue
+                    i += 1
+                    while t[i : i + 1] == " ":
+                        i += 1
+                    i += t[i : i + 1] in ("'", '"') and i < len(t)
+                    j = i
+                    while j < len(t) and t[j] in allowed:
+                        j += 1
+                    if j > i:
+                        end = (i, j)
+                        break
+            if end:
+                if end[1] - end[0] >= 8:
+                    out.append((at, 0, end[1]))
+                at = end[1]
+            else:
+                at += 1
+        return out
+
+    def runs(t, head, chars, least, kind):
+        at, out = 0, []
+        while at < len(t):
+            if t.startswith(head, at) and t[at + len(head) : at + len(head) + 1] in chars and at + len(head) < len(t):
+                j = at + len(head)
+                while j < len(t) and t[j] in chars:
+                    j += 1
+                if j - at >= least:
+                    out.append((at, kind, j))
+                at = j
+            else:
+                at += 1
+        return out
+
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows = secrets.op3_secrets(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        want = sorted(assigns(t) + runs(t, "AKIA", upper, 16, 1) + runs(t, "", set("0123456789abcdef"), 32, 2))
+        text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3)), t
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("model")] == [x for x in text.split(",") if x]
+
+
+def test_secret_network_on_new_findings(net):
+    rules = secrets.Draw(99)
+    found = [rules.example() for _ in range(800)]
+    x, y = [secrets.windows(t, *secrets.asked(t, s, e)) for t, s, e, _ in found], np.array([v for *_, v in found])
+    p = secrets.highest(net.probability(np.concatenate(x).astype(np.int64)), [len(w) for w in x]) >= net.threshold
+    assert p[y == 1].mean() > 0.93 and p[y == 0].mean() < 0.06
+
+
+def test_secret_network_on_findings_from_elsewhere(net):
+    """Written by hand, not by the rules that it was trained on."""
+    leaks = [
+        ("db = postgres://admin:", "Tr0ub4dor3xyz", "@db.internal:5432/app"), ("https://deploy:", "9f8a7s6d5f4g", "@git.example.com/repo.git"), ("redis://:x redis://cache:", "Zx81kkLmN0p", "@cache:6379"),
+        ("export STRIPE_KEY=", "rk_test_9aKx02mmQpz7LwTTn1", ""), ("DB_PASSWORD_PROD: '", "qP8_xx21!mmz", "'"), ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzEXAMPLEKEYa", "\n"),
+        ("//registry.npmjs.org/:_authToken=", "npm_A8sd7f6g5h4j3k2l1Q0w9e8r7t6y5u4i3o2", ""), ("curl -H 'Authorization: Bearer ", "abc123DEF456ghi7", "'"), ("use Bearer ", "mF_9.B5f-4.1JqM", " for it"),
+        ("signing key = ", "kq" * 3 + "zvxwpnbtrlmdqfhj", ""), ("see ", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", " there"), ("jwt: ", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", ""),
+    ]
+    hit = [any(k == 3 and s < len(a + b) and len(a) < e for s, k, e in secrets.find([a + b + c], net)[0]) or bool(secrets.base_spans(a + b + c)) for a, b, c in leaks]
+    assert np.mean(hit) >= 0.9
+    clean = "the function getUserAccountBalanceByIdentifier returns|call parseHttpResponseHeaders2 then|see docs/api/reference/v2/index.html|file report_final_2024_v3.pdf|at 2024-05-06T12:30:00Z|uuid 123e4567-e89b-12d3-a456-426614174000|version 12.4.1-beta2|www.example.com/article/12345|the user_account_settings table|order ORD-2024-000123|the password is required here|key: description|mail anna.berg42@mail7.example.com|JavaScript and TypeScript".split("|")
+    assert np.mean([bool(x) for x in secrets.find(clean, net)]) <= 0.15
+
+
+def test_secrets_reach_the_end_of_long_candidates(net):
+    """A key behind 300 harmless characters of one token is seen, and so is what follows a base span."""
+    text = "a" + "/lorem/ipsum" * 25 + "=" + "Zk2kQm4x9PPq01LmNoXyZ8872hhGGttRRee81kdkQ"
+    assert any(k == 3 for _, k, _ in secrets.find([text], net)[0])
+    assert secrets.candidates("token=abcdefgh!Qq7xK2mmPz91Lw", [(0, 0, 14)]) and not secrets.candidates("token=Qq7xK2mmPz91", [(0, 0, 18)])
+    many = " ".join(f"{i}k{'=' * (i % 3)}x9abcdef" for i in range(20000))
+    assert len(secrets.candidates(many, [(0, 2, 40)] * 5000)) > 1000
 
 
 def test_lm(docs, empty):

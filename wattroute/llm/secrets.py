@@ -1,21 +1,27 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-Base spans come from three patterns. The candidates are long tokens of letters and digits outside them; a small network (byte embedding,
-one convolution, maximum over positions, logistic output; all in numpy) reads each candidate with the
-characters around it. It is trained on labelled findings that are drawn from rules (keys, tokens and digests in the places
-where they leak, against words, numbers, dates, links and names), a bounded number of them; the threshold is the highest that
-keeps RECALL of a validation set, after the logits are calibrated on it (Platt).
+Base spans come from three patterns. Further candidates are tokens of 8 or more characters that mix letters with digits,
+cases or signs, whatever value follows a word such as "key", "pwd" or "Bearer", and the password of an address. A small network (byte
+embedding, one convolution, maximum over all positions and mean over the candidate's, one hidden layer; all in numpy) reads
+windows that together cover the whole candidate with BEFORE characters ahead of it and AFTER behind it; a further bit
+of each character tells whether it belongs to the candidate. A candidate's score is the largest of its windows'.
 
-One pass, no shuffle; memory bounded by a batch of rows and CANDIDATES windows.
+It is trained on labelled findings that are drawn from rules (keys, tokens, passwords and digests in the places where they leak,
+against identifiers, paths, addresses, dates, numbers and words), a bounded number of them; the logits are calibrated on a
+validation set (Platt), and the threshold is the highest that keeps RECALL of its secrets.
 
-Defined cases: null texts count as empty and have no span; repeated rows give repeated result rows; other columns are never read.
+One pass, no shuffle; memory bounded by a batch of rows, the windows of one candidate and WINDOWS at once.
+
+Defined cases: null texts count as empty and have no span; a candidate inside a base span is not asked, one that reaches
+beyond a base span is; repeated rows give repeated result rows; other columns are never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,16 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{32,}"),
 }
 KINDS = ["assign", "access", "hex", "model"]
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
-BEFORE, WIDTH, CANDIDATES = 24, 88, 2048
-EMBED, SPAN, FILTERS, EPOCHS, EXAMPLES, RECALL = 8, 5, 24, 6, 3000, 0.98
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+SIGN = re.compile(r"[:=]")
+NAME = re.compile(r"""(?:key|pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|cred(?:ential)?s?|login|jwt|signature|access|license)\w{0,24}["']?\s{0,3}$""", re.I)
+VALUE = re.compile(r"""[:=>]?\s{0,3}(?:[Bb]earer\s|[Bb]asic\s)?["'`]?([^\s"'`<>,;(){}\[\]]{8,})""")
+BEARER = re.compile(r"""\b(?:[Bb]earer|BEARER|[Bb]asic|BASIC)\s{1,3}["']?([^\s"'`<>,;(){}\[\]]{8,})""")
+ADDRESS = re.compile(r"://[^\s:/@]{1,64}:([^\s@/]{4,})@")
+NAME_REACH = 48  # characters before a sign in which the naming word is looked for
+BEFORE, BODY, AFTER, WINDOWS = 32, 48, 16, 2048
+WIDTH = BEFORE + BODY + AFTER
+EMBED, SPAN, FILTERS, HIDDEN, EPOCHS, EXAMPLES, RECALL = 8, 5, 32, 16, 8, 6000, 0.96
 SCHEMA = "doc_id bigint, kinds array<string>, starts array<int>, ends array<int>"
 
 
@@ -45,111 +58,255 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in BASE["hex"].finditer(text)]
 
 
+def mixed(token: str) -> bool:
+    """Whether a token mixes letters with digits, cases or signs other than dots and dashes."""
+    if token.isalpha() and (token.islower() or token[1:].islower()):
+        return False
+    core = token.replace(".", "").replace("-", "")
+    plain = core.isalpha() and (core.islower() or core.isupper() or core[1:].islower())
+    return len(token) >= 8 and not plain and core.lower() != core.upper()
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    spans = [(s, e) for s, _, e in taken]
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in spans)]
-
-
-def window(text: str, start: int, end: int) -> bytes:
-    """BEFORE characters ahead, then the candidate and what follows; other than ASCII as one code, outside the text as zero."""
-    ahead = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    return (ahead + text[start : start + WIDTH - BEFORE]).ljust(WIDTH, "\0").encode("ascii", "replace")
-
-
-def example(draw: np.random.Generator) -> tuple[str, int, int, int]:
-    """A labelled finding: text, start, end, label."""
-    pick = lambda chars, n: "".join(draw.choice(list(chars), n))
-    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    word = lambda: pick(lower, draw.integers(2, 10))
-    mixed = lower + lower.upper() + digits
-    label = int(draw.random() < 0.5)
-    n = int(draw.integers(20, 60))
-    if label:
-        key = [lambda: pick(mixed, n), lambda: pick(mixed + "+/", n) + "==", lambda: pick(["ghp_", "xox-", "sk_live_", "glpat-"], 1) + pick(mixed, n), lambda: "eyJ" + pick(mixed + "-_", n), lambda: pick("0123456789ABCDEF", n)][draw.integers(5)]()
-        lead = str(draw.choice(["key = ", "Bearer ", "auth: ", "access ", '"', "pwd=", "credential: ", f"{word()} ", f"{word()}. "]))
-    else:
-        parts = [word() for _ in range(8)]
-        key = [
-            lambda: "-".join(parts[:5]) + pick(digits, 2), lambda: "/".join(parts[:4]) + "/" + pick(digits, 4), lambda: "_".join(parts[:4]) + pick(digits, 1), lambda: "".join(parts[:5]) + pick(digits, 2),
-            lambda: "2024-0" + pick(digits, 1) + "-" + pick(digits, 2) + "T" + pick(digits, 6) + "Z0000", lambda: pick(digits, 24) + pick(lower, 1), lambda: "=" * 20 + pick(digits, 1) + word(),
-            lambda: (word() * 9)[:24].upper() + pick(digits, 1), lambda: "-".join([pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)]),
-        ][draw.integers(9)]()
-        lead = str(draw.choice(["see ", "https://", "id: ", "version ", f"{word()} ", f"{word()}, ", f"{word()}\n"]))
-    text = f"{word()} {word()} {lead}"
-    return text + key + f" {word()} {word()}", len(text), len(text) + len(key), label
+    """Spans to ask the network about: overlapping ones joined, those inside a base span left out; one sweep over sorted spans."""
+    found = [(m.start(), m.start() + len(t)) for m in TOKEN.finditer(text) if mixed(t := m[0].rstrip(".-"))]
+    for m in SIGN.finditer(text):  # signs are rare: look at what stands before and behind each
+        if NAME.search(text, max(0, m.start() - NAME_REACH), m.start()) and (v := VALUE.match(text, m.end())):
+            found.append(v.span(1))
+    found += [m.span(1) for m in BEARER.finditer(text)]
+    found = sorted(found + ([m.span(1) for m in ADDRESS.finditer(text)] if "://" in text else []))
+    joined: list[tuple[int, int]] = []
+    for s, e in found:
+        if joined and s < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    if not taken:
+        return joined
+    base = sorted((s, e) for s, _, e in taken)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    return [(s, e) for s, e in joined if not (k := bisect_right(starts, s)) or reach[k - 1] < e]
+
+
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Codes (rows of WIDTH) over a candidate and its surroundings: ASCII, others "?", outside the text 0, and 128 more inside the candidate."""
+    rows = max(1, -(-(end - start) // BODY))
+    a, b = start - BEFORE, start - BEFORE + (rows - 1) * BODY + WIDTH
+    codes = np.zeros(b - a, dtype=np.uint8)
+    part = text[max(0, a) : b].encode("ascii", "replace")
+    codes[max(0, -a) : max(0, -a) + len(part)] = np.frombuffer(part, dtype=np.uint8)
+    codes[BEFORE : BEFORE + end - start] |= 128
+    return codes[np.arange(rows)[:, None] * BODY + np.arange(WIDTH)[None, :]]
+
+
+# Heads of well-known tokens, words that lead to secrets or to harmless values.
+HEADS = "ghp_ gho_ github_pat_ xoxb- xoxp- sk_live_ rk_live_ sk- pk- glpat- npm_ pypi- AIza ya29. SG. hf_ dop_v1_ shpat_ key- EAAC AKIA lin_api_ sq0atp-".split()
+LEADS = "key api-key access_key auth AUTH_TOKEN pwd pass PASSPHRASE passcode credential creds DB_PASS SECRET_KEY client_secret signing-key login jwt license".split()
+PLAIN = "id name file path version see at url host ref class order item page user module import function type label".split()
+SOUNDS = ("b c ch d f g h j k l m n p qu r s st t th tr v w pl gr sch".split(), "a e i o u ai ea ou ie".split(), ["", "", "n", "r", "s", "l", "nd", "st", "t", "ng"])
+
+
+class Draw:
+    """Labelled findings drawn from rules."""
+
+    def __init__(self, seed):
+        self.r = np.random.default_rng(seed)
+
+    def one(self, of):
+        return of[int(self.r.integers(len(of)))]
+
+    def pick(self, chars: str, low: int, high: int | None = None) -> str:
+        n = int(self.r.integers(low, high + 1)) if high else low
+        return "".join(chars[i] for i in self.r.integers(0, len(chars), n))
+
+    def word(self, low: int = 1, high: int = 3) -> str:
+        return "".join(self.one(part) for _ in range(int(self.r.integers(low, high + 1))) for part in SOUNDS)
+
+    def secret(self) -> tuple[str, str, str]:
+        """(text before, secret, text after)."""
+        lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+        mixed = lower + lower.upper() + digits
+        quote = self.one(["", "", '"', "'", "`"])
+        named = self.one(LEADS) + self.one([": ", "=", " = ", ":", " is ", ' => ', '": "']) + quote
+        if self.r.random() < 0.4:
+            named = self.word().upper() + "_" + named
+        free = self.one(["", "", f"{self.word()} ", f"({self.word()} ", '"', "> ", "- ", f"{self.word()}: "])
+        bearer = self.one(["Authorization: Bearer ", "bearer ", "Bearer ", "Basic ", '-H "Authorization: Bearer '])
+        kind = int(self.r.integers(10))
+        if kind == 0:
+            return self.one([named, free, bearer]), self.pick(mixed, 20, 64), quote
+        if kind == 1:
+            return self.one([named, free, bearer]), self.pick(mixed + "+/", 22, 90) + self.one(["", "=", "=="]), quote
+        if kind == 2:
+            return self.one([named, free, bearer]), self.one(HEADS) + self.pick(mixed + "_-", 16, 48), quote
+        if kind == 3:
+            return self.one([named, free, bearer]), "eyJ" + self.pick(mixed, 15, 40) + ".eyJ" + self.pick(mixed, 20, 120) + "." + self.pick(mixed + "-_", 30, 50), quote
+        if kind == 4:
+            return self.one([named, free]), self.pick(self.one(["0123456789ABCDEF", lower.upper() + "234567"]), 24, 64), quote
+        if kind == 5:
+            scheme = self.one(["postgres", "mysql", "mongodb+srv", "redis", "https", "amqp", "ftp", "smtp"])
+            value = self.one([self.pick(mixed, 8, 30), self.pick(mixed + "!$%^&*-_", 8, 24), self.human()])
+            return f"{scheme}://{self.word()}:", value, f"@{self.word()}.{self.word()}.com:{self.pick(digits, 4)}/{self.word()}"
+        if kind == 6:
+            return self.one([named, bearer]), self.pick(mixed + "!$%&*-_.", 8, 19), quote
+        if kind == 7:
+            return named, self.pick(self.one([lower, lower + lower.upper(), lower.upper()]), 12, 40), quote
+        if kind == 8:
+            return named, self.one(["-", "_", "."]).join(self.word(1, 2) for _ in range(int(self.r.integers(4, 7)))), quote
+        return named, self.human(), quote
+
+    def human(self) -> str:
+        return self.word(2, 3).title() + self.one(["", "_", "-", "@"]) + self.pick("0123456789", 2, 4) + self.one(["", "!", "!!", "#", "$"])
+
+    def harmless(self) -> tuple[str, str, str]:
+        digits, word = "0123456789", self.word
+        named = self.one(PLAIN) + self.one([": ", "=", " = ", ":", " "])
+        free = self.one(["", f"{word()} ", f"{word()}, ", "(", '"', f"{word()}\n", "https://", "http://www."])
+        some = lambda low, high: [word() for _ in range(int(self.r.integers(low, high + 1)))]
+        kind = int(self.r.integers(20))
+        lead = self.one([named, free])
+        if kind >= 16:  # what stands around secrets and addresses
+            host = f"{word()}{self.pick(digits, 0, 2)}.{word()}{self.one(['.com', '.org', '.net/' + word(), '.io:' + self.pick(digits, 4) + '/' + word()])}"
+            return [
+                lambda: (free, f"{word()}{self.one(['.', '_', ''])}{self.pick(digits, 2, 4)}", "@" + host), lambda: (f"{free}{word()}.{self.pick(digits, 2)}@", host, ""),
+                lambda: (f"{free}{word()}://{word()}:{self.human()}@", host, ""), lambda: (free, f"{word().upper()}_{self.one(LEADS).upper()}", self.one(["=", ": "]) + self.pick(digits + word(), 20)),
+            ][kind - 16]()
+        value = [
+            lambda: word() + "".join(w.title() for w in some(1, 4)) + self.one(["", self.pick(digits, 1, 2)]),
+            lambda: "".join(w.title() for w in some(2, 5)) + self.one(["", self.pick(digits, 1, 2)]),
+            lambda: "_".join(some(2, 5)) + self.one(["", "_" + self.pick(digits, 1, 4)]), lambda: "-".join(some(2, 6)) + self.one(["", "-" + self.pick(digits, 1, 4)]),
+            lambda: "/".join(some(2, 6)) + self.one(["", "/" + self.pick(digits, 2, 6), ".html", ".py", "/"]), lambda: ".".join(some(2, 4)) + self.one([".com", ".org", ".net", ".de"]) + self.one(["", "/" + word() + self.pick(digits, 1, 3)]),
+            lambda: "-".join(self.pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: f"20{self.pick(digits, 2)}-0{self.pick(digits, 1)}-1{self.pick(digits, 1)}T{self.pick('01', 2)}:{self.pick('012345', 2)}:00Z",
+            lambda: "v" + ".".join(self.pick(digits, 1, 2) for _ in range(3)) + self.one(["-beta1", "-rc2", "+build5", "a1"]), lambda: word().upper() + "-20" + self.pick(digits, 2) + "-" + self.pick(digits, 4, 8),
+            lambda: "_".join(some(2, 4)) + self.one([".pdf", ".tar.gz", ".csv", "_v2.docx", ".jpg"]), lambda: self.pick(digits, 6, 12) + self.one(["px", "km", "EUR", "th", "kWh", "ml"]),
+            lambda: "=" * int(self.r.integers(6, 20)) + self.pick(digits, 1) + word(), lambda: "_".join(w.upper() for w in some(2, 4)), lambda: word().upper() + self.pick(digits, 3, 5) + word(),
+            lambda: self.pick(word() + word(), 1) * int(self.r.integers(8, 20)) + self.pick(digits, 1),
+        ][kind]()
+        if self.r.random() < 0.2:  # a leading word with a harmless value: a type, a name, a variable
+            lead = self.one(LEADS) + self.one([": ", "=", " = ", " is "])
+            value = self.one([lambda: word(2, 4), lambda: word() + "".join(w.title() for w in some(1, 2)), lambda: "required", lambda: "undefined", lambda: "_".join(some(2, 2)), lambda: "${" + word().upper() + "_KEY}", lambda: "*" * 10])()
+        return lead, value, self.one(["", '"', ")", ".", ","])
+
+    def example(self) -> tuple[str, int, int, int]:
+        """text, start, end, label."""
+        label = int(self.r.random() < 0.5)
+        before, value, after = self.secret() if label else self.harmless()
+        lead = " ".join(self.word() for _ in range(int(self.r.integers(0, 6))))
+        text = f"{lead}{self.one([' ', ' ', chr(10), '. '])}{before}" if lead else before
+        tail = " ".join(self.word() for _ in range(int(self.r.integers(0, 5))))
+        return text + value + after + self.one([" ", "\n", ". "]) + tail, len(text), len(text) + len(value), label
+
+
+def asked(text: str, start: int, end: int) -> tuple[int, int]:
+    """The candidate that a scan would find at a labelled finding (itself if the patterns find none there)."""
+    return next(((s, e) for s, e in candidates(text, []) if s < end and start < e), (start, end))
 
 
 class Network:
     def __init__(self, draw: np.random.Generator):
-        size = lambda *s: draw.normal(0, 1 / np.sqrt(np.prod(s[:-1]) or 1), s)
-        self.p = {"embed": draw.normal(0, 0.5, (128, EMBED)), "conv": size(SPAN * EMBED, FILTERS), "bias": np.zeros(FILTERS), "out": size(FILTERS, 1)[:, 0], "shift": np.zeros(1)}
+        size = lambda *s: draw.normal(0, np.sqrt(2 / s[0]), s).astype(np.float32)
+        zero = lambda n: np.zeros(n, dtype=np.float32)
+        self.p = {
+            "embed": draw.normal(0, 0.5, (256, EMBED)).astype(np.float32), "conv": size(SPAN * EMBED, FILTERS), "bias": zero(FILTERS),
+            "mix": size(2 * FILTERS, HIDDEN), "lift": zero(HIDDEN), "out": size(HIDDEN, 1)[:, 0], "shift": zero(1),
+        }
         self.scale, self.offset, self.threshold = 1.0, 0.0, 0.5
 
-    def unfold(self, x: np.ndarray) -> np.ndarray:
-        e = self.p["embed"][x]
-        return np.concatenate([e[:, i : WIDTH - SPAN + 1 + i] for i in range(SPAN)], axis=2)
+    def forward(self, x: np.ndarray) -> tuple:
+        p, n = self.p, WIDTH - SPAN + 1
+        e = p["embed"][x]
+        u = np.concatenate([e[:, i : n + i] for i in range(SPAN)], axis=2)
+        z = np.maximum(u @ p["conv"] + p["bias"], 0)
+        inside = (x[:, SPAN // 2 : n + SPAN // 2] >= 128).astype(np.float32)
+        inside /= np.maximum(inside.sum(axis=1, keepdims=True), 1)
+        pooled = np.concatenate([z.max(axis=1), np.einsum("nl,nlf->nf", inside, z)], axis=1)
+        h = np.maximum(pooled @ p["mix"] + p["lift"], 0)
+        return h @ p["out"] + p["shift"][0], u, z, inside, pooled, h
 
-    def logits(self, x: np.ndarray, keep: bool = False):
-        u = self.unfold(x)
-        z = u @ self.p["conv"] + self.p["bias"]
-        at = z.argmax(axis=1)
-        top = np.take_along_axis(z, at[:, None], axis=1)[:, 0]
-        a = np.maximum(top, 0)
-        out = a @ self.p["out"] + self.p["shift"][0]
-        return (out, u, at, a) if keep else out
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.float32), *(self.forward(x[at : at + WINDOWS])[0] for at in range(0, len(x), WINDOWS))])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.offset, -30, 30)))
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        p = self.p
+        out, u, z, inside, pooled, h = self.forward(x)
+        d = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(x)).astype(np.float32)
+        dh = d[:, None] * p["out"] * (h > 0)
+        dp = dh @ p["mix"].T
+        dz = inside[:, :, None] * dp[:, None, FILTERS:]
+        at = z.argmax(axis=1)
+        np.put_along_axis(dz, at[:, None], np.take_along_axis(dz, at[:, None], axis=1) + dp[:, None, :FILTERS], axis=1)
+        dz *= z > 0
+        du = dz @ p["conv"].T
+        n = WIDTH - SPAN + 1
+        codes = np.stack([x[:, i : n + i] for i in range(SPAN)], axis=2).ravel()
+        embed = np.stack([np.bincount(codes, du.reshape(-1, EMBED)[:, k], minlength=256) for k in range(EMBED)], axis=1)
+        conv = u.reshape(-1, SPAN * EMBED).T @ dz.reshape(-1, FILTERS)
+        return {"embed": embed, "conv": conv, "bias": dz.sum(axis=(0, 1)), "mix": pooled.T @ dh, "lift": dh.sum(axis=0), "out": h.T @ d, "shift": d.sum(keepdims=True)}
+
     def train(self, x: np.ndarray, y: np.ndarray, draw: np.random.Generator) -> None:
         m, v, t = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        for _ in range(EPOCHS):
-            for rows in np.array_split(draw.permutation(len(x)), max(1, len(x) // 64)):
-                xb = x[rows]
-                out, u, at, a = self.logits(xb, keep=True)
-                d = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[rows]) / len(rows)
-                back = d[:, None] * self.p["out"] * (a > 0)
-                seen = np.take_along_axis(u, at[:, :, None], axis=1)  # rows, filters, SPAN * EMBED
-                de = np.einsum("bf,kf->bfk", back, self.p["conv"]).reshape(len(rows), FILTERS, SPAN, EMBED)
-                embed = np.zeros_like(self.p["embed"])
-                np.add.at(embed, np.take_along_axis(xb[:, None, :], at[:, :, None] + np.arange(SPAN), axis=2), de)
-                grads = {"embed": embed, "conv": np.einsum("bf,bfk->kf", back, seen), "bias": back.sum(axis=0), "out": a.T @ d, "shift": d.sum(keepdims=True)}
+        for epoch in range(EPOCHS):
+            for rows in np.array_split(draw.permutation(len(x)), max(1, len(x) // 96)):
                 t += 1
-                for k, g in grads.items():  # Adam
+                for k, g in self.gradients(x[rows], y[rows]).items():  # Adam
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    step = 0.006 * (1 - epoch / EPOCHS) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] = (self.p[k] - step).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the highest threshold that keeps RECALL of the labelled secrets."""
-        out, a, b = self.logits(x), 1.0, 0.0
-        for _ in range(200):
+    def calibrate(self, out: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling of the candidates' logits, then the highest threshold that keeps RECALL of the labelled secrets."""
+        a, b = 1.0, 0.0
+        for _ in range(300):
             d = 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30))) - y
-            a, b = a - 0.05 * float(np.mean(d * out)), b - 0.05 * float(np.mean(d))
+            a, b = max(0.05, a - 0.05 * float(np.mean(d * out))), b - 0.05 * float(np.mean(d))
         self.scale, self.offset = a, b
-        self.threshold = min(0.5, float(np.quantile(self.probability(x)[y == 1], 1 - RECALL)))
+        p = 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
+        self.threshold = min(0.5, float(np.quantile(p[y == 1], 1 - RECALL)))
+
+
+def highest(values: np.ndarray, rows: list[int]) -> np.ndarray:
+    """Largest value of each candidate's windows; ``rows``: how many windows each has (at least one)."""
+    return np.maximum.reduceat(values, np.concatenate([[0], np.cumsum(rows)[:-1]]).astype(int)) if rows else np.zeros(0)
 
 
 def train(examples: int = EXAMPLES, seed: int = 7) -> Network:
-    draw = np.random.default_rng(seed)
-    found = [example(draw) for _ in range(examples)]
-    x = np.frombuffer(b"".join(window(t, s, e) for t, s, e, _ in found), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int64)
-    y = np.array([label for *_, label in found])
+    rules, draw = Draw(seed), np.random.default_rng(seed)
+    found = [rules.example() for _ in range(examples)]
+    x = [windows(t, *asked(t, s, e)) for t, s, e, _ in found]
+    y = np.array([label for *_, label in found], dtype=np.float32)
     cut, net = examples * 4 // 5, Network(draw)
-    net.train(x[:cut], y[:cut], draw)
-    net.calibrate(x[cut:], y[cut:])
+    rows = [len(w) for w in x]
+    net.train(np.concatenate(x[:cut]).astype(np.int64), np.repeat(y[:cut], rows[:cut]), draw)
+    net.calibrate(highest(net.logits(np.concatenate(x[cut:]).astype(np.int64)), rows[cut:]), y[cut:])
     return net
 
 
 def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind number, end) of each text, sorted."""
     out = [base_spans(t) for t in texts]
-    asked = [(k, s, e) for k, t in enumerate(texts) for s, e in candidates(t, out[k])]
-    for at in range(0, len(asked), CANDIDATES):
-        some = asked[at : at + CANDIDATES]
-        x = np.frombuffer(b"".join(window(texts[k], s, e) for k, s, e in some), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int64)
-        for (k, s, e), p in zip(some, net.probability(x), strict=True):
-            if p >= net.threshold:
-                out[k].append((s, 3, e))
+    spans, held, size = [], [], 0
+
+    def ask() -> None:
+        if held:
+            best = highest(net.probability(np.concatenate(held).astype(np.int64)), [len(w) for w in held])
+            for (k, s, e), p in zip(spans, best, strict=True):
+                if p >= net.threshold:
+                    out[k].append((s, 3, e))
+            spans.clear()
+            held.clear()
+
+    for k, t in enumerate(texts):
+        for s, e in candidates(t, out[k]):
+            spans.append((k, s, e))
+            held.append(windows(t, s, e))
+            size += len(held[-1])
+            if size >= WINDOWS:
+                ask()
+                size = 0
+    ask()
     return [sorted(x) for x in out]
 
 
