@@ -57,7 +57,7 @@ def test_simhash(spark, docs, empty):
     assert len(got) == len(TEXTS) + 1
     prints = {i: brute_print(t) for i, t in enumerate(TEXTS)}
     for r in got:
-        assert r.w0 & (2**64 - 1) == prints[r.doc_id]
+        assert r.bits & (2**64 - 1) == prints[r.doc_id]
     part = {i: i for i in prints}
     for _ in prints:
         for a in prints:
@@ -70,6 +70,35 @@ def test_simhash(spark, docs, empty):
     assert 3 in kept and 4 not in kept and 6 not in kept and {0, 1, 2} <= set(kept)
 
 
+def linked_parts(bits):
+    part = list(range(len(bits)))
+    for i, a in enumerate(bits):
+        for j in range(i):
+            if (a ^ bits[j]).bit_count() <= 3 and part[i] != part[j]:
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    return part
+
+
+@pytest.mark.parametrize(("crowd", "small"), [(8192, 24), (8192, 2), (16, 4)])
+def test_anchor_cells_find_every_link(spark, monkeypatch, crowd, small):
+    """Random walks of 0 to 4 turned bits from crowded and from lone starts, also with small chunks."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    draw = np.random.default_rng(4)
+    bits = [0]
+    for k in range(500):
+        base = bits[int(draw.integers(len(bits)))] if k % 3 else int(draw.integers(0, 1 << 63)) if k % 2 else 0
+        for b in draw.integers(0, 64, int(draw.integers(1, 5))):
+            base ^= 1 << int(b)
+        bits.append(base)
+    bits = sorted(set(bits))
+    prints = spark.createDataFrame([(i, b - (1 << 64) if b >> 63 else b) for i, b in enumerate(bits)], "node bigint, bits bigint")
+    got = dict(map(tuple, components(simhash.link(prints)).collect()))
+    want = linked_parts(bits)
+    assert [got.get(i, i) for i in range(len(bits))] == want and len(set(want)) < len(bits)
+
+
 def test_near_copies_by_exact_similarity(spark):
     draw = np.random.default_rng(5)
     words = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]

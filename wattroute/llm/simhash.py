@@ -1,19 +1,20 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint has 64 bits for each of ``words`` hash words. Every 32-bit half of it gives its low 23 bits to the
-perfect binary Golay code [23, 12], whose covering radius is 3: each half has exactly one *home* anchor (a codeword
-within 3 bits). A fingerprint is replicated to every anchor within covering radius plus the half's threshold, and
-per anchor the homes are compared with all fingerprints that were sent there, over all their bits.
-
-Guarantee: with H halves and a fingerprint threshold below 2 H, two linked fingerprints differ in at most one bit in
-some half; there the one lies within 3 + 1 bits of the other's home anchor, so the pair meets. The 64-bit, 3-bit
-query is therefore exact. With longer fingerprints and wide thresholds (similarity 0.8) the meeting is probable, not
-certain: with 8 halves about 0.42 for each half at similarity 0.8, hence about 0.98 for the pair.
-
-Scale: equal fingerprints are collapsed before replication, the number of anchors is fixed (4096 for each half), so the
-table of crowded anchors has a proven bound and is broadcast; homes of a crowded anchor are dealt over several chunks.
-A group of near copies yields one edge for each member and anchor (to the least member of its local component), never
-all pairs. Components are found by contraction without collecting anything.
+A fingerprint has 64 bits. Each 32-bit half of it gives its low 23 bits to the perfect binary Golay code [23, 12], whose
+covering radius is 3: each half has exactly one *home* anchor (a codeword within 3 bits). Together with the half's other
+9 bits the anchor is a cell. A fingerprint is replicated to the cells of every anchor within covering radius plus
+threshold of the half, with its own 9 bits, and to its home anchor's cells with one of the 9 bits turned; per cell the
+homes are compared with all fingerprints that were sent there, over all their bits.
+
+Guarantee: two linked fingerprints (at most 3 bits apart) differ in at most one bit in some half. If that is one of the low
+23, the one lies within 3 + 1 bits of the other's home anchor and has the same 9 bits; if one of the 9, both have the
+same home anchor and one turned bit leads from cell to cell. So every linked pair meets: the query is exact.
+
+Scale: equal fingerprints are collapsed before replication. There are 2^21 cells a half, and work grows with the pairs in
+a cell. Both the homes and the visitors of a crowded cell are dealt over chunks of CROWD, so no group is larger than two
+chunks or ROWS rows; the number of groups follows the number of rows. A crowded cell yields one edge
+for each member and pair of chunks (to the least member of its local component), a small cell of at most SMALL rows
+its links. Components are found by contraction without collecting anything.
 
 Defined cases: a null text counts as empty; an empty text has fingerprint zero and links like any other; repeated rows
 give repeated result rows; rows whose doc_id is null get a fingerprint and share the component of equal fingerprints
@@ -37,9 +38,13 @@ from wattroute.llm.common import components, materialise, table, texts
 N, K, RADIUS, REACH = 23, 12, 3, 1
 GOLAY = 0xC75  # fixed value: generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
 SEED = 42
-BUCKETS = 512  # groups of anchors handled together by one call
-CROWD = 8192  # homes of one anchor compared in one task; more are dealt over chunks
-PAIRS = 1 << 21  # cells of a comparison matrix held at once
+REST = 32 - N  # bits of a half beside the code word
+GROUP = 400_000  # rows, about, that one call handles
+COPIES = 30  # rows, about, that a fingerprint is replicated to
+SMALL = 24  # rows of a cell whose links are all given
+CROWD = 8192  # rows of one cell on either side compared in one task; more are dealt over chunks
+BROADCAST = 100_000  # crowded cells at most that every task is sent
+PAIRS = 1 << 21  # entries of a comparison matrix held at once
 
 
 def syndromes(x: np.ndarray) -> np.ndarray:
@@ -86,27 +91,28 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index, (word >> np.uint32(N - K)).astype(np.int32), np.arange(len(index)) < len(x)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> list[int]:
-    """SimHash words of a text: A-Z lowered, words split at ASCII white space, XXH64 of each shingle, majority per bit.
+def cells(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into ``half``, cell 0..2^21 - 1, is it the home) of every cell that a half is sent to."""
+    index, anchor, home = anchors(half)
+    rest = ((half >> np.uint64(N)) & np.uint64((1 << REST) - 1)).astype(np.int64)
+    n = len(half)
+    turned = (rest[:, None] ^ (1 << np.arange(REST, dtype=np.int64))[None, :]).ravel()
+    own = anchor.astype(np.int64) << REST | rest[index]
+    flipped = np.repeat(anchor[:n].astype(np.int64), REST) << REST | turned
+    return np.concatenate([index, np.repeat(np.arange(n), REST)]), np.concatenate([own, flipped]), np.concatenate([home, np.zeros(n * REST, dtype=bool)])
 
-    Word j > 0 hashes the same shingles anew by a 64-bit finaliser with another odd multiplier.
-    """
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of a text: A-Z lowered, words split at ASCII white space, XXH64 of each shingle, majority per bit."""
     w = text.lower().split()
     if not w:
-        return [0] * words
+        return 0
     line = b" ".join(w)
     ends = list(accumulate((len(x) + 1 for x in w), initial=-1))[1:]
     k = min(shingle, len(w))
     starts = [0, *(e + 1 for e in ends[: len(w) - k])]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :], strict=True)], dtype=np.uint64)
-    return [majority(h if j == 0 else remix(h, j)) for j in range(words)]
-
-
-def remix(h: np.ndarray, j: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & (2**64 - 1))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return majority(np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :], strict=True)], dtype=np.uint64))
 
 
 def majority(h: np.ndarray) -> int:
@@ -117,71 +123,72 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and the columns w0.. (bigint, the unsigned words' bits) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and bits (bigint, the bits of the unsigned fingerprint) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, j]).view(np.int64)) for j in range(words))], names)
+            got = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "bits"])
 
-    names = ["doc_id", *(f"w{j}" for j in range(words))]
-    return texts(docs, binary=True).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return texts(docs, binary=True).mapInArrow(run, "doc_id bigint, bits bigint")
 
 
-def link(prints: DataFrame, max_distance: int, words: int = 1) -> DataFrame:
-    """Edges (a, b) between nodes of linked fingerprints: of each local component of an anchor, every member with the least.
-
-    ``prints``: node (unique bigint) and w0..; fingerprints must be distinct.
-    """
-    names = [f"w{j}" for j in range(words)]
+def link(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+    """Edges (a, b) between nodes of linked fingerprints that join all that links join. ``prints``: node (unique bigint) and bits, distinct."""
+    if max_distance > 3:
+        raise ValueError("two halves, each reaching one bit further than the code covers, find pairs of at most 3 differing bits")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            own = [batch.column(1 + j).to_numpy(zero_copy_only=False) for j in range(words)]
-            for half in range(2 * words):
-                bits = own[half // 2].view(np.uint64) >> np.uint64(32 * (half % 2))
-                index, anchor, home = anchors(bits)
-                cell = anchor + np.int32(half << K)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), pa.array(node[index]), *(pa.array(w[index]) for w in own)], ["cell", "home", "node", *names])
-
-    sent = prints.select("node", *names).mapInArrow(replicate, "cell int, home boolean, node bigint, " + ", ".join(f"{n} bigint" for n in names))
-    crowded = (
-        prints.select("node", *names).mapInArrow(replicate, sent.schema).where("home").groupBy("cell").count()
-        .where(F.col("count") > CROWD).select("cell", F.ceil(F.col("count") / CROWD).cast("int").alias("chunks"))
-    )  # at most 4096 anchors a half: bounded whatever the input
-    chunks = F.coalesce("chunks", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = (
-        sent.join(F.broadcast(crowded), "cell", "left")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumn("home", F.col("home") & (F.col("chunk") == own))
-        .select("cell", "chunk", "home", "node", *names)
-    )
+            node, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for half in range(2):
+                index, cell, home = cells(bits.view(np.uint64) >> np.uint64(32 * half))
+                yield pa.RecordBatch.from_arrays([pa.array(cell + (half << (K + REST))), pa.array(home), pa.array(node[index]), pa.array(bits[index])], ["cell", "home", "node", "bits"])
+
+    sent = prints.select("node", "bits").mapInArrow(replicate, "cell bigint, home boolean, node bigint, bits bigint")
+    several = lambda c: F.ceil(c / CROWD).cast("int")
+    crowded = sent.groupBy("cell").agg(several(F.count(F.when(F.col("home"), 1))).alias("hs"), several(F.count(F.lit(1))).alias("vs")).where("vs > 1 and hs > 0")
+    crowded = materialise(crowded, "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST else crowded
+    hs, vs = F.coalesce("hs", F.lit(1)), F.coalesce("vs", F.lit(1))
+    place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    # where a cell is crowded, homes are also visitors: each home meets each visitor in one (home chunk, visitor chunk)
+    asking = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), vs - 1), lambda v: F.struct(place(hs, 1).alias("h"), v.alias("v"), F.lit(True).alias("home"))))
+    asked = F.when(~F.col("home") | (vs > 1), F.transform(F.sequence(F.lit(0), hs - 1), lambda h: F.struct(h.alias("h"), place(vs, 2).alias("v"), F.lit(False).alias("home"))))
+    none = F.array().cast("array<struct<h:int,v:int,home:boolean>>")
+    dealt = sent.join(crowded, "cell", "left").select("cell", "node", "bits", F.explode(F.concat(F.coalesce(asking, none), F.coalesce(asked, none))).alias("at"))
+    groups = max(64, prints.count() * COPIES // GROUP)
+    keyed = dealt.select(F.pmod(F.xxhash64("cell", "at.h", "at.v"), F.lit(groups)).alias("bucket"), "cell", "at.h", "at.v", "at.home", "node", "bits")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "chunk", "node"], ignore_index=True)
-        part = pdf["cell"].to_numpy().astype(np.int64) * (1 << 31) + pdf["chunk"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-        home, node = pdf["home"].to_numpy(dtype=bool), pdf["node"].to_numpy(dtype=np.int64)
-        bits = [pdf[n].to_numpy(dtype=np.int64).view(np.uint64) for n in names]
-        out = [local_links(home[s:e], node[s:e], [b[s:e] for b in bits], max_distance) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
-        pairs = np.concatenate([np.empty((0, 2), dtype=np.int64), *out])
+        pdf = pdf.sort_values(["cell", "h", "v", "node"], ignore_index=True)
+        key = pdf[["cell", "h", "v"]].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+        home, node, bits = pdf["home"].to_numpy(dtype=bool), pdf["node"].to_numpy(dtype=np.int64), pdf["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+        size = np.diff(cuts)
+        out = [np.empty((0, 2), dtype=np.int64), *(local_links(home[s:e], node[s:e], bits[s:e], max_distance) for s, e in zip(cuts[:-1][size > SMALL], cuts[1:][size > SMALL], strict=True))]
+        own = np.repeat(np.arange(len(size)), size)  # the cell of each row
+        asks = np.flatnonzero(home & (size[own] > 1) & (size[own] <= SMALL))
+        for some in np.array_split(asks, 1 + len(asks) * SMALL // PAIRS):
+            many = size[own[some]]
+            left = np.repeat(some, many)
+            right = np.repeat(cuts[own[some]] - np.cumsum(many) + many, many) + np.arange(len(left))
+            close = (left != right) & (np.bitwise_count(bits[left] ^ bits[right]) <= max_distance)
+            out.append(np.column_stack([node[left[close]], node[right[close]]]))
+        pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    bucket = F.struct(F.pmod(F.xxhash64("cell"), F.lit(BUCKETS)).alias("bucket"), "chunk")
-    return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "a bigint, b bigint")
+    return keyed.groupBy("bucket").applyInPandas(compare, "a bigint, b bigint")
 
 
-def local_links(home: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int) -> np.ndarray:
-    """(member, least member) over the components of the links between homes and all that came to one anchor."""
+def local_links(home: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """(member, least member) over the components of the links between homes and all that came to one cell."""
     at, label = np.flatnonzero(home), np.arange(len(node))
     step = max(1, PAIRS // len(node))
     for s in range(0, len(at), step):
         rows = at[s : s + step]
-        apart = sum(np.bitwise_count(b[rows][:, None] ^ b[None, :]).astype(np.uint16) for b in bits)
-        close = apart <= most
+        close = np.bitwise_count(bits[rows][:, None] ^ bits[None, :]) <= most
         for i in np.flatnonzero(close.sum(axis=1) > 1):
             met = np.unique(label[close[i]])
             if len(met) > 1:
@@ -190,14 +197,13 @@ def local_links(home: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most
     return np.column_stack([node[moved], node[label[moved]]])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, w0.., component_id (smallest doc_id reachable over links of at most ``max_distance`` bits)."""
-    names = [f"w{j}" for j in range(words)]
-    prints = materialise(fingerprints(docs, shingle, words), "prints")
-    distinct = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
-    groups = components(link(distinct.where("node is not null"), max_distance, words))
-    placed = distinct.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(placed, names, "left").select("doc_id", *names, "component_id")
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """doc_id, bits, component_id (smallest doc_id reachable over links of at most ``max_distance`` bits)."""
+    prints = materialise(fingerprints(docs, shingle), "prints")
+    distinct = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("node")), "distinct")
+    groups = components(link(distinct.where("node is not null"), max_distance))
+    placed = distinct.join(groups, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(placed, "bits", "left").select("doc_id", "bits", "component_id")
 
 
 def hex16(word: Column) -> Column:
@@ -340,4 +346,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", hex16(F.col("w0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", hex16(F.col("bits")).alias("fingerprint"), "component_id")
