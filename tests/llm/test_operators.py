@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -144,6 +145,40 @@ def test_bpe_equals_the_library(docs):
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
 
 
+def test_bpe_of_any_code_point():
+    from tokenizers import Tokenizer
+
+    lib, own, draw = Tokenizer.from_file(bpe.vocabulary()), bpe.Bpe(bpe.vocabulary()), np.random.default_rng(8)
+    newest = [0x10D40, 0x1E5D0, 0x2EBF0, 0x323B0, 0x11BC0, 0x1C89, 0xA7CB, 0x16D40, 0x1CCF0, 0x10EC2]  # letters and digits of late versions
+    for c in [*newest, *draw.integers(0x80, 0x110000, 3000).tolist()]:
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}B1 {chr(c)}{chr(c)} x"
+            assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_cache_is_bounded_in_entries_and_bytes():
+    cache = bpe.Cache(100)
+    for k in range(1000):
+        cache.put(f"{k:0500}", k)
+        cache.put(f"{k:0500}", k)
+        cache.put("x" * 600 + str(k), k)
+    assert sum(map(len, [*cache.young, *cache.old])) <= 2 * (100 * cache.ROOM + 512) and all(len(k) <= 512 for k in cache.young)
+
+
+def test_token_files_split_a_repeated_id(spark, tmp_path, monkeypatch):
+    """Files in order of doc_id; one id with half of the rows, and rows without id, lie in several shards."""
+    monkeypatch.setattr(tokenfile, "SHARD_DOCS", 10)
+    rows = [(7, f"text {i}") for i in range(100)] + [(None, f"none {i}") for i in range(40)] + [(i, f"own {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tokenfile.write_tokens(docs, bpe.vocabulary(tokenfile.TOKENIZER), str(tmp_path / "t"))
+    got = tokenfile.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    blocks = spark.read.parquet(str(tmp_path / "t" / "blocks")).select("shard", F.size("n_tokens").alias("n"), F.input_file_name().alias("f")).orderBy("f").collect()
+    assert [b.shard for b in blocks] == sorted(b.shard for b in blocks) and max(b.n for b in blocks) < 45
+
+
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -188,6 +223,18 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_every_notice_is_found_with_its_words_around(spark):
+    notices = [(k, f"words before {t} and after it", label) for k, (t, label) in enumerate(licenses.NOTICES)]
+    loose = [(100 + k, " ".join(w for i, w in enumerate(t.split()) if i != 12), label) for k, (t, label) in enumerate(licenses.NOTICES) if len(t.split()) > 24]  # one word gone: two diagonals
+    docs = spark.createDataFrame([(i, t) for i, t, _ in notices + loose] + [(999, "the software is free and the license is at hand " * 50)], "doc_id bigint, text string")
+    got = {r.doc_id: r.found for r in licenses.scan(docs).collect()}
+    for i, t, label in notices + loose:
+        assert label in {s.label for s in got[i] if not s.base}, (i, label)
+    for i, t, label in notices:
+        assert any((s.label, s.start, s.end) == (label, 2, len(t.split()) - 3) for s in got[i]), t
+    assert not got[999]
+
+
 def test_licenses_of_repeated_rows(spark):
     notice = licenses.NOTICES[5][0].split()
     texts = ["under the MIT License", " ".join(["by mit license", *notice]), " ".join(notice[:6]), None]  # the third has too few votes
@@ -324,10 +371,93 @@ def test_language_and_quality_edges(spark, docs, empty):
     assert {r.lang_pred for r in none} == {"und"}
     got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
     assert got[0].lang_pred == got[2].lang_pred == "und" and got[3].lang_pred in ("en", "de") and 0 <= got[3].score <= 1
+    assert langid.identify(empty, langid.fit(docs)).count() == 0 and langid.identify(docs, None).where("doc_id = 3").count() == 2
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.score(empty, quality.fit(docs, labels)).count() == 0 and quality.score(docs, quality.fit(docs, labels)).where("doc_id = 3").count() == 2
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {0.5}
 
 
+def test_language_by_brute_force():
+    """The prediction of every text again from sums over its n-grams one by one: family first, then votes of pairs."""
+    draw = np.random.default_rng(6)
+    words = {"en": "the of and house water", "de": "der und haus wasser nicht", "fr": "le et maison eau pas", "es": "el y casa agua no", "xx": "\u4e00\u4e8c \u4e09 \u5c71"}
+    sample = [(lang, " ".join(draw.choice(w.split(), 30))) for lang, w in words.items() for _ in range(20)]
+    x, _ = langid.vectors([t for _, t in sample])
+    model = langid.Model(x, [v for v, _ in sample])
+    texts = [*(t for _, t in sample[::7]), "The house, und DAS Wasser", "\u0130stanbul", "1 2 3", "", "x" * 50]
+    langs, scores = model.predict(texts)
+
+    def margin(t, k):
+        low = t.lower() + "\0\0"
+        at = []
+        for i in range(len(low)):
+            h = 0
+            for n in range(3):
+                h = (h * 0x01000193 + (ord(low[i + n]) if i + n < len(low) else 0) + n + 1) % 2**32
+                at.append((h * 0x9E3779B1) % 2**32 >> 20)
+        return sum(float(model.w[g, k]) for g in at) * 64 / len(at) + float(model.w[-1, k])
+
+    for t, got, score in zip(texts, langs, scores, strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (got, score) == ("und", 0)
+            continue
+        family = max(range(len(model.families)), key=lambda k: (margin(t, k), -k))
+        members = model.members[model.families[family]]
+        votes = {v: [0, 0.0] for v in members}
+        for p, (a, b) in enumerate(model.pairs):
+            if a in members:
+                m = margin(t, len(model.families) + p)
+                for v, own in ((a, m), (b, -m)):
+                    votes[v] = [votes[v][0] + (own > 0), votes[v][1] + own]
+        assert got == max(sorted(members), key=lambda v: votes[v]) and 0 <= score <= 1
+    assert [langs[k] for k in range(len(sample[::7]))] == [v for v, _ in sample[::7]]
+
+
+def test_counts_of_a_text_in_chunks(monkeypatch):
+    text = "Übung macht den Meister \U0001f600 " * 40
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    got = langid.counts(text)
+    assert (got[0] == whole[0]).all() and got[1:] == whole[1:] and got[0].sum() == got[1]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    lang = langid.op1_langid(spark, d).where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
+    assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    rows = quality.op6_quality(spark, d).where("held_out").join(labels, "doc_id").where("quality is not null").select("score", "quality").collect()
+    good, bad = (np.array([r.score for r in rows if r.quality == q]) for q in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() > 0.9
+
+
+def test_trees_and_statistics_by_brute_force():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(400, 5)).astype(np.float32)
+    trees = quality.boost(x, (x[:, 0] + x[:, 1] > 0).astype(int))
+
+    def walk(row):
+        total = trees.base
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(t):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += leaf[node - len(t)]
+        return 1 / (1 + math.exp(-total))
+
+    assert len(trees.leaf) and trees.score(x) == pytest.approx([walk(r) for r in x])
+    text = "Ab \u5c71 c1!\nab ab\nAB"
+    got = quality.statistics(text, quality.char_classes())
+    n = len(text)
+    kinds = [sum(c.islower() for c in text), sum(c.isalpha() and not c.islower() for c in text), 1, sum(c == " " for c in text), 2, 0]
+    assert got[:6] == pytest.approx([k / n for k in kinds]) and got[6 + quality.PUNCTUATION.index("!")] == pytest.approx(1 / n)
+    tail = got[quality.N_CLASSES :]
+    words = text.split()
+    assert tail[:7] == pytest.approx([math.log1p(n), math.log1p(6), np.mean([len(w) for w in words]), np.std([len(w) for w in words]), 3, 5 / 6, 2 / 6])
+    assert tail[7:] == pytest.approx([1, math.log1p(3), n / 3, 1 / 6, 2 / 6])
+
+
 def test_trees_learn():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(3000, 6)).astype(np.float32)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -60,13 +59,25 @@ class Bpe:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pieces, self.words = Cache(cached), Cache(cached)
+        self.path, self.lib, self.byte = path, None, {c: b for b, c in enumerate(byte_letters())}
 
-    def merge(self, word: str) -> list[int]:
+    def split(self, piece: str) -> list[bytes]:
+        """The words of a piece in UTF-8. ASCII ones by the file's pattern; for others the library's own normaliser and
+        splitter are asked, so that all follow one version of Unicode."""
+        if piece.isascii():
+            return [w.encode() for w in self.word.findall(piece.lower())]
+        if self.lib is None:
+            from tokenizers import Tokenizer
+
+            self.lib = Tokenizer.from_file(self.path)
+        words = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(piece))
+        return [bytes(map(self.byte.__getitem__, w)) for w, _ in words]
+
+    def merge(self, raw: bytes) -> list[int]:
         """Ids of one word by merges in order of rank, leftmost first.
 
         Queue entries are rank << 32 | position; an entry is stale if the symbols there are no longer its pair.
         """
-        raw = word.encode()
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
         n = len(symbols)
@@ -92,12 +103,8 @@ class Bpe:
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """(ids in decimal, decoded text) of a piece between single spaces; both empty if it holds no token."""
-        if piece.isascii():
-            text = piece.lower()
-        else:
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
         ids: list[int] = []
-        for word in self.word.findall(text):
+        for word in self.split(piece):
             got = self.words.get(word)
             ids += got if got is not None else self.words.put(word, self.merge(word))
         return self.pieces.put(piece, (b" ".join([b"%d" % i for i in ids]), self.decode(ids)))

@@ -4,8 +4,9 @@ Features are hashed character 1- to 3-grams of the lowered whole text, as shares
 machines (squared hinge loss, dual coordinate descent) decide: one against the rest for families, one against one for the languages
 of a family, whose votes are counted (ties: larger sum of margins, then name). All machines are columns of one weight matrix.
 
-They are fitted on a bounded sample: PER_LANGUAGE labelled rows of least id hash for each language. Scoring is one pass,
-no shuffle; memory is bounded by CHUNK characters at a time (or one text).
+They are fitted on a bounded sample: PER_LANGUAGE labelled rows of least id hash for each language, every language; more than
+MAX_LANGUAGES of them raise an error rather than leave some out. Scoring is one pass, no shuffle; beside the text itself
+memory is bounded by CHUNK characters at a time.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled row every text is ``und``;
 repeated rows give repeated result rows; other columns are never read.
@@ -14,11 +15,12 @@ repeated rows give repeated result rows; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattroute.llm.common import crc_mod, table, texts
@@ -26,6 +28,7 @@ from wattroute.llm.common import crc_mod, table, texts
 PER_LANGUAGE, MAX_LANGUAGES = 300, 200
 BITS, ORDERS, SCALE = 12, 3, 64.0
 CHUNK = 1 << 20
+ROWS = 256  # texts whose counts are held at once
 
 # Families of languages; a language not listed is a family of its own.
 FAMILIES = {
@@ -35,41 +38,34 @@ FAMILIES = {
 FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs.split()}
 
 
+@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > CHUNK:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
-
-
-def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Start of each text, code points, and for each order the hashed n-gram that starts at each code point."""
-    low = [t.lower() + "\0\0" for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in low])[:-1]])
-    h, grams = np.zeros(len(codes), dtype=np.uint32), []
-    for n in range(ORDERS):
-        h = h * np.uint32(0x01000193) + np.concatenate([codes[n:], np.zeros(min(n, len(codes)), dtype=np.uint32)]) + np.uint32(n + 1)
-        grams.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
-    return starts, codes, grams
-
-
-def vectors(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
+def counts(text: str) -> tuple[np.ndarray, int, bool]:
+    """Hashed n-grams that start at each character (and at two closing zeros) counted by bucket, their number, whether there is a letter."""
+    low = text.lower() + "\0\0"
+    total, some = np.zeros(1 << BITS, dtype=np.int64), False
+    for at in range(0, len(low), CHUNK):
+        codes = np.frombuffer(low[at : at + CHUNK + ORDERS - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        own = min(CHUNK, len(low) - at)
+        codes = np.concatenate([codes, np.zeros(own + ORDERS - 1 - len(codes), dtype=np.uint32)])
+        some = some or bool(letters()[codes[:own]].any())
+        h = np.zeros(own, dtype=np.uint32)
+        for n in range(ORDERS):
+            h = h * np.uint32(0x01000193) + codes[n : n + own] + np.uint32(n + 1)
+            total += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    return total, ORDERS * len(low), some
+
+
+def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of all n-grams by bucket, times SCALE, and whether each text has a letter."""
+    out, some = np.zeros((len(texts), 1 << BITS), dtype=np.float32), np.zeros(len(texts), dtype=bool)
     for k, t in enumerate(texts):
-        _, _, grams = gram_rows([t])
-        n = np.bincount(np.concatenate(grams), minlength=1 << BITS)
-        out[k] = n * (SCALE / n.sum())
-    return out
+        n, total, some[k] = counts(t)
+        out[k] = n * (SCALE / total)
+    return out, some
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, sweeps: int = 30) -> np.ndarray:
@@ -100,11 +96,9 @@ class Model:
             w.append(linear_svm(x[own], np.where(lang[own] == a, 1, -1)))
         self.w = np.array(w, dtype=np.float32).reshape(-1, (1 << BITS) + 1).T
 
-    def predict(self, texts: list[str], letter: np.ndarray) -> tuple[list[str], np.ndarray]:
-        starts, codes, grams = gram_rows(texts)
-        margins = sum(np.add.reduceat(self.w[g], starts, axis=0) for g in grams)
-        margins = margins * (SCALE / (ORDERS * np.diff(np.append(starts, len(codes)))))[:, None] + self.w[-1]
-        some = np.add.reduceat(letter[codes].astype(np.int64), starts) > 0
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        x, some = vectors(texts)
+        margins = x @ self.w[:-1] + self.w[-1]
         nf = len(self.families) if len(self.families) > 1 else 0
         sure = lambda m: 1 / (1 + np.exp(-2 * np.clip(m, -30, 30)))
         top = margins[:, :nf].argmax(axis=1) if nf else np.zeros(len(texts), dtype=int)
@@ -131,23 +125,25 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """``docs``: doc_id, text, lang. PER_LANGUAGE rows of each language, of least id hash."""
+    """``docs``: doc_id, text, lang. PER_LANGUAGE rows of each language, of least id hash (of a repeated id, of least text hash)."""
     named = docs.where("lang is not null")
-    langs = sorted(r.lang for r in named.select("lang").distinct().limit(MAX_LANGUAGES).collect())
-    if not langs:
+    n = named.select("lang").distinct().count()
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages; raise MAX_LANGUAGES above {MAX_LANGUAGES} to learn them all")
+    if not n:
         return None
-    parts = [named.where(F.col("lang") == v).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE) for v in langs]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.union(p)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = named.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= PER_LANGUAGE).select("lang", "doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = vectors(batch.column(0).to_pylist())
+            x, _ = vectors(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], ["x", "lang"])
 
-    rows = texts(named, ("text", "lang", "doc_id")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    got = sorted((r.lang, bytes(r.x)) for r in rows.select("text", "lang").mapInArrow(run, "x binary, lang string").limit(2 * PER_LANGUAGE * len(langs)).toLocalIterator())
+    rows = texts(named, ("text", "lang", "doc_id")).join(F.broadcast(ids.withColumnsRenamed({"lang": "of", "doc_id": "id"})), F.col("lang").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(again)).where(F.col("place") <= PER_LANGUAGE)
+    got = sorted((r.lang, bytes(r.x)) for r in rows.select("text", "lang").mapInArrow(run, "x binary, lang string").toLocalIterator())  # PER_LANGUAGE rows a language
     return Model(np.array([np.frombuffer(x, dtype=np.float32) for _, x in got]), [v for v, _ in got])
 
 
@@ -155,11 +151,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter = letters()
         for batch in batches:
             rows, names, scores = batch.column(1).to_pylist(), [], [np.zeros(0)]
-            for some in chunks(rows):
-                got = model.predict(some, letter) if model else (["und"] * len(some), np.zeros(len(some)))
+            for at in range(0, len(rows), ROWS):
+                some = rows[at : at + ROWS]
+                got = model.predict(some) if model else (["und"] * len(some), np.zeros(len(some)))
                 names += got[0]
                 scores.append(got[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "lang_pred", "score"])

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,10 @@ ACCEPT = 0.3
 PUNCTUATION = "#$%&*|!?@{}<>=~^_"  # fixed value: characters counted one by one
 
 
+@lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    """Class of each code point below 0x3000: letter lower, letter other, digit, space, end of line, other; then PUNCTUATION."""
-    table = np.full(0x3000, 5, dtype=np.uint8)
+    """Class of each code point: letter lower, letter other, digit, space, end of line, other; then PUNCTUATION."""
+    table = np.full(0x110000, 5, dtype=np.uint8)
     for c in range(len(table)):
         s = chr(c)
         table[c] = 0 if s.islower() else 1 if s.isalpha() else 2 if s.isdigit() else 4 if s == "\n" else 3 if s.isspace() else 5
@@ -45,7 +47,7 @@ def statistics(text: str, classes: np.ndarray) -> list[float]:
     """Statistics of a text; all zero for an empty one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = max(1, len(codes))
-    kinds = np.bincount(classes[np.minimum(codes, len(classes) - 1)], minlength=N_CLASSES) / n
+    kinds = np.bincount(classes[codes], minlength=N_CLASSES) / n
     words, lines = text.split(), text.split("\n")
     m = max(1, len(words))
     counts = Counter(words)

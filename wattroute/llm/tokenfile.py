@@ -10,8 +10,9 @@ Layout of a token table (Parquet directories that Spark writes and any Spark-rea
   (pushed to the scan), then decompress one frame.
 
 Shards are ranges of doc_id, at quantiles of the ids alone, so no text is moved to find them and the encoded frames are
-shuffled once. Shards are at most MAX_SHARDS, so the running totals that give each document its place in the
-whole are a bounded list. The dictionary is trained on a bounded sample (SAMPLE documents of least id hash).
+shuffled once, each shard to the partition (and the file) of its own number: the files are in order of doc_id. One id, or
+rows without id, that fill several shards are dealt over them by a hash of the text. Shards are at most MAX_SHARDS, so the
+running totals that give each document its place in the whole are a bounded list. The dictionary is trained on a bounded sample (SAMPLE documents of least id hash).
 
 Defined cases: null and empty texts hold just the end id; rows without doc_id come first; repeated rows stand next to
 each other, each with its own place; an empty table gives an empty file set with an empty dictionary.
@@ -43,6 +44,7 @@ END_ID = 0
 SAMPLE = 1000  # documents the dictionary is trained on
 DICTIONARY = 32 * 1024  # its bytes at most
 SHARD_DOCS, MAX_SHARDS = 2048, 10_000
+NO_ID = -(1 << 63)  # rows without id sort here
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 CACHED = 400_000  # pieces in each of two generations
 ODD = re.compile(r" (?=\s|\Z)")  # a space that does not start a piece
@@ -123,16 +125,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
     n = docs.count()
     shards = min(MAX_SHARDS, -(-n // SHARD_DOCS))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
-    bounds = np.array(bounds, dtype=np.int64)
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("double").alias("id"))
+    bounds = np.array(sorted(ids.approxQuantile("id", [i / shards for i in range(1, shards)], 0.2 / shards)) if shards > 1 else [], dtype=np.float64)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, squeeze = load(tokenizer_path), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
             ids = list(encoder.encode(batch.column(1).to_pylist()))
-            of = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            of = batch.column(0).fill_null(NO_ID).to_numpy().astype(np.float64)
+            low, high = np.searchsorted(bounds, of, side="left"), np.searchsorted(bounds, of, side="right")
+            dealt = np.array([zlib.crc32(x) for x in ids], dtype=np.int64) % np.maximum(high - low, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, of, side="right").astype(np.int32)), batch.column(0), pa.array([len(x) // encoder.type.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())],
+                [pa.array((high - dealt).astype(np.int32)), batch.column(0), pa.array([len(x) // encoder.type.itemsize for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())],
                 ["shard", "doc_id", "n_tokens", "frame"],
             )
 
@@ -163,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
             yield flush()
 
     frames = rows.mapInArrow(compress, "shard int, doc_id bigint, n_tokens bigint, frame binary")
-    blocks = frames.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(pack, BLOCK)
+    blocks = frames.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard", "doc_id").mapInArrow(pack, BLOCK)
     blocks.write.parquet(f"{path}/blocks")
     width = load_width(tokenizer_path)
     spark.createDataFrame([(dict_hash, width, bytearray(dictionary))], "dict_hash string, id_bytes int, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
