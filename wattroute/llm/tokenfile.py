@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattroute.llm.bpe import vocabulary
+from wattroute.llm.bpe import byte_letters, vocabulary
 from wattroute.llm.cache import Cache
 from wattroute.llm.common import shared_dir, table, texts
 
@@ -68,6 +68,11 @@ class Encoder:
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.first, self.cache = Cache(CACHED // 20), Cache(CACHED)
+        self.length = None  # bytes of each id's string, where every byte is a letter of the vocabulary and nothing is normalised
+        if self.lib.normalizer is None and set(byte_letters()) <= self.lib.get_vocab().keys():
+            self.length = np.zeros(self.lib.get_vocab_size(), dtype=np.int64)
+            for string, i in self.lib.get_vocab().items():
+                self.length[i] = len(string)
 
     def known(self, cache: Cache, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of each piece (with ``lead`` before it); what the cache lacks goes to the library in one call."""
@@ -79,12 +84,22 @@ class Encoder:
                     out[k] = got
                 elif got is None:
                     lacks.setdefault(pieces[k], []).append(k)
-            for (p, at), e in zip(lacks.items(), self.lib.encode_batch_fast([lead + p for p in lacks], add_special_tokens=False), strict=True):
-                got = cache.put(p, array(self.code, e.ids).tobytes())
+            for (p, at), ids in zip(lacks.items(), self.together([lead + p for p in lacks]), strict=True):
+                got = cache.put(p, ids)
                 for k in at:
                     out[k] = got
         return out
 
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space, encoded as one text and cut by the bytes that each id stands for; others one by one."""
+        if len(pieces) < 2 or self.length is None or pieces[0][:1] != " ":
+            return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = np.array(self.lib.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.type)
+        upto = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        ends = np.searchsorted(np.cumsum(self.length[ids]), upto) + 1
+        raw, size = ids.tobytes(), self.type.itemsize
+        return [raw[s * size : e * size] for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text and the end id, in the file's width."""
         end = np.array([END_ID], dtype=self.type).tobytes()
