@@ -1,11 +1,19 @@
 """Streams with state, and literal cases of the planning operators."""
 
+import heapq
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from wattroute.functions import rules
-from wattroute.operators import asof, routing
+from wattroute.operators import asof, routing, spatial
+from wattroute.plans import catalogue, planning
+from wattroute.sources.views import view
 from wattroute.streaming import sessions
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_lines_of_a_stream(spark, tmp_path):
     schema = "session bigint, seq int, chunk string"
@@ -43,3 +51,71 @@ def test_asof_edges(spark):
 def test_tiers(spark):
     d = lambda *x: spark.range(1).select(rules.speech_tier(*map(F.lit, x))).first()[0]
     assert [d(40.0, 0.0, 1.0), d(100.0, 10.0, 99.0), d(100.0, 10.0, 100.0), d(700.0, 10.0, 400.0), d(701.0, 10.0, 400.0)] == [3, 0, 2, 1, 0]
+
+
+def test_leg_starts_from_standstill(spark):
+    """The first edge of a leg pays for its whole speed, by a literal value of the rule: 100 km/h from 0, 1 km, flat, 20 C."""
+    from wattroute.functions import physics
+
+    energy = lambda delta: physics.edge_energy_wh(physics.ALL_WHEEL, F.lit(1000.0), F.lit(100.0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(20.0), F.lit(delta))
+    rest, rolling = spark.range(1).select(energy(100.0), energy(0.0)).first()
+    assert rest - rolling == pytest.approx(0.5 * 2095 * 1.04 * (100 / 3.6) ** 2 / 0.85 / 3600, rel=1e-9)
+    leg = catalogue.speed_cap_legs(spark, DATA).where("cap = 999.0").orderBy("leg").first()
+    e = sorted((r.src, r.dst, r.length_m, r.speed_kmh, r.ascent_m, r.descent_m, r.road_class) for r in view(spark, DATA, "v_edge").where(f"floor(src / 10) = {leg.leg}").collect())
+    total, before = 0.0, 0.0
+    for _, _, length, kmh, up, down, kind in e:
+        v, dv = kmh / 3.6, (kmh - before) / 3.6
+        pull = 0.0099 * 2095 * 9.80665 * length + 0.5 * (1.225 * 288.15 / 293.15) * 0.75 * v * v * length + 0.5 * 2095 * 1.04 * (2 * v * dv - dv * dv)
+        total += ((pull / 0.85 if pull >= 0 else pull * 0.65) + 2095 * 9.80665 * (up / 0.85 - down * 0.65) + 600 * length / v) / 3600 + (0.014 * length if kind == 1 else 0)
+        before = kmh
+    assert leg.energy_wh == pytest.approx(total, abs=1e-3)
+
+
+def test_pairs_far_north_and_across_the_date_line(spark):
+    import random
+
+    draw = random.Random(1)
+    places = [(lat + draw.uniform(-0.05, 0.05), ((lon + draw.uniform(-0.3, 0.3)) + 180) % 360 - 180) for lat, lon in [(65.0, 10.0), (89.97, 0.0), (-77.0, 180.0), (0.0, 180.0), (48.0, 7.0)] for _ in range(60)]
+    places += [(65.0, 10.0), (65.0, 10.042), (89.99, 10.0), (89.99, -170.0), (10.0, 179.999), (10.0, -179.999)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lat double, lon double")
+    got = {(r.id, r.other_id) for r in spatial.within(df, df, 2500.0).collect()}
+
+    def metres(a, b):
+        x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(x)))
+
+    want = {(i, j) for i, a in enumerate(places) for j, b in enumerate(places) if i != j and metres(a, b) <= 2500}
+    assert got == want and {(300, 301), (302, 303), (304, 305)} <= want
+
+
+def test_nearest_node_anywhere(spark):
+    nodes = spark.createDataFrame([(1, 48.0, 5.0), (2, 48.05, 5.0), (3, -30.0, 100.0)], "node_id int, lat double, lon double")
+    points = spark.createDataFrame([(1, 48.04, 5.0), (2, 40.0, 5.0), (3, -60.0, 170.0), (4, 48.3, 5.3)], "id int, lat double, lon double")
+    assert dict(map(tuple, spatial.nearest_node_anywhere(points, nodes).collect())) == {1: 2, 2: 1, 3: 3, 4: 2}
+    assert dict(map(tuple, spatial.nearest_node(points, nodes).collect())) == {1: 2, 2: None, 3: None, 4: None}
+
+
+def test_matrix_has_no_limit(spark):
+    edges = view(spark, DATA, "v_edge")
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.src, []).append((r.dst, r.length_m / r.speed_kmh * 3.6))
+
+    def search(source):
+        done, queue = {}, [(0.0, source)]
+        while queue:
+            c, n = heapq.heappop(queue)
+            if n not in done:
+                done[n] = c
+                for m, w in near.get(n, []):
+                    heapq.heappush(queue, (c + w, m))
+        return done
+
+    rows = planning.travel_matrix(spark, DATA).collect()
+    costs = {s: search(s) for s in {r.source for r in rows}}
+    assert len(rows) > 1000
+    for r in rows:
+        want = costs[r.source].get(r.node)
+        assert r.cost_s is None if want is None else r.cost_s == pytest.approx(want, abs=1e-5)
+    far = routing.many_to_many(edges, spark.createDataFrame([(1, 199), (199, 1), (1, 100000)], "source int, node int")).collect()
+    assert {(r.source, r.node): r.cost_s and round(r.cost_s, 4) for r in far} == {(1, 199): round(costs[1][199], 4), (199, 1): costs[199].get(1) and round(costs[199][1], 4), (1, 100000): None}

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that spark.checkpoint.dir names; a folder of our own only where that is unset (tests)."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wattroute-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wattroute-"))
     return df.checkpoint()
 
 
@@ -38,8 +42,16 @@ def travel_costs(edges: DataFrame, sources: DataFrame, limit_s: float | None = N
     """
     weights = durable(_weights(edges))
     at = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")).where("source is not null").distinct()
-    labels = durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True)))
+    return _relax(weights, durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), limit_s, None)
+
+
+def _relax(weights: DataFrame, labels: DataFrame, limit_s: float | None, wanted: DataFrame | None) -> DataFrame:
+    """Rounds until nothing improves. With ``wanted`` (source, node) a source stops where all its wanted nodes are known to be nearer."""
     while not (front := labels.where("fresh")).isEmpty():
+        if wanted is not None:
+            known = wanted.join(labels.select("source", "node", "cost_s"), ["source", "node"], "left")
+            bound = known.groupBy("source").agg(F.when(F.count("cost_s") == F.count(F.lit(1)), F.max("cost_s")).alias("bound"))
+            front = front.join(bound, "source").where("bound is null or cost_s < bound")
         step = front.join(weights, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("cost_s") + F.col("w")).alias("cost_s"))
         if limit_s is not None:
             step = step.where(F.col("cost_s") <= limit_s)
@@ -49,9 +61,16 @@ def travel_costs(edges: DataFrame, sources: DataFrame, limit_s: float | None = N
     return labels.drop("fresh")
 
 
-def many_to_many(costs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each wanted (source, node) with its cost, null if it was not reached."""
-    return pairs.distinct().join(costs, ["source", "node"], "left")
+def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each wanted (source, node) with its least cost, null only if no way leads there.
+
+    A source is followed only up to the farthest of its wanted nodes, once all of them have been reached; where one cannot
+    be, all that the source reaches is searched.
+    """
+    wanted = durable(pairs.select("source", "node").distinct())
+    at = wanted.select("source", F.col("source").alias("node")).distinct()
+    labels = _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, wanted)
+    return wanted.join(labels, ["source", "node"], "left")
 
 
 def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:

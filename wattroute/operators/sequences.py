@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,9 @@ def nearest_in_time(queries: DataFrame, readings: DataFrame, key: str, at: str,
     """
     r = readings.where(F.col(value).isNotNull()).select(F.col(key), F.col(at), F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("hit"))
     both = queries.withColumn("asked", F.lit(True)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at)
-    before = F.last("hit", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("hit", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    both = both.withColumn("asked", F.coalesce("asked", F.lit(False)))
+    so_far = lambda order: F.last("hit", ignorenulls=True).over(Window.partitionBy(key).orderBy(order, "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = so_far(F.col(at)), so_far(F.desc(at))  # readings of one time come before the queries of that time both ways
     found = both.withColumn("b", before).withColumn("a", after).where("asked")
     late = F.col("b").isNull() | ((F.col("a.t") - F.col(at)) < (F.col(at) - F.col("b.t")))
     return found.select(*queries.columns, F.when(late, F.col("a.v")).otherwise(F.col("b.v")).alias(value))
@@ -44,55 +42,41 @@ def islands(df: DataFrame, key: str, order: str, inside: Column, counted: Column
     return runs.groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.greatest(F.sum(F.col("counted").cast("bigint")), F.lit(1).cast("bigint")).alias("exits"))
 
 
-def _kept(df: DataFrame, key: str, order: str, keep: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """An ordered fold over the rows of one key (one trip): which row stays depends on the last that did."""
+def _kept(df: DataFrame, key: str, order: str, start: Column, keep: Callable[[Column, Column], Column], mark: Callable[[Column, Column], Column]) -> DataFrame:
+    """An ordered fold over the rows of one key (one trip), in the JVM: which row stays depends on ``mark``, what the last that did has left."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("rows"))
+    none = F.filter("rows", lambda r: F.lit(False))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[keep(pdf)]
+    def step(state: Column, row: Column) -> Column:
+        stays = keep(state["mark"], row)
+        return F.struct(F.when(stays, mark(state["mark"], row)).otherwise(state["mark"]).alias("mark"), F.concat(state["kept"], F.when(stays, F.array(row)).otherwise(none)).alias("kept"))
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    folded = rows.select(key, F.aggregate("rows", F.struct(start.alias("mark"), none.alias("kept")), step, lambda s: s["kept"]).alias("kept"))
+    return folded.select(key, F.inline("kept")).select(*df.columns)
 
 
 def thin_trail(df: DataFrame, key: str, order: str, along: str, level: str, metres: float = 500.0, points: float = 0.5) -> DataFrame:
     """The first row, then each at least ``metres`` or ``points`` away from the last kept."""
-
-    def keep(pdf: pd.DataFrame) -> np.ndarray:
-        out, last = np.zeros(len(pdf), dtype=bool), None
-        for i, (x, y) in enumerate(zip(pdf[along], pdf[level], strict=True)):
-            if last is None or abs(x - last[0]) >= metres or abs(y - last[1]) >= points:
-                out[i], last = True, (x, y)
-        return out
-
-    return _kept(df, key, order, keep)
+    place = lambda row: F.struct(row[along].cast("double").alias("x"), row[level].cast("double").alias("y"))
+    nowhere = F.lit(None).cast("struct<x:double,y:double>")
+    far = lambda last, row: last.isNull() | (F.abs(row[along] - last["x"]) >= metres) | (F.abs(row[level] - last["y"]) >= points)
+    return _kept(df, key, order, nowhere, far, lambda last, row: place(row))
 
 
 def thin_fixes(df: DataFrame, key: str, order: str, t: str, lat: str = "lat", lon: str = "lon", least_s: float = 0.5) -> DataFrame:
     """Fixes of a recording: none before its start or without a valid place, then each at least ``least_s`` after the last kept."""
-
-    def keep(pdf: pd.DataFrame) -> np.ndarray:
-        out, last = np.zeros(len(pdf), dtype=bool), None
-        for i, x in enumerate(pdf[t]):
-            if last is None or x - last >= least_s:
-                out[i], last = True, x
-        return out
-
     valid = (F.col(t) >= 0) & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & ((F.col(lat) != 0) | (F.col(lon) != 0))
-    return _kept(df.where(valid), key, order, keep)
+    late = lambda last, row: last.isNull() | (row[t] - last >= least_s)
+    return _kept(df.where(valid), key, order, F.lit(None).cast("double"), late, lambda last, row: row[t].cast("double"))
 
 
 def downsample(df: DataFrame, key: str, order: str, along: str, step: float = STEP_M) -> DataFrame:
     """Rows that reach the next mark, which moves on by exactly one step each time, and the last row."""
-
-    def keep(pdf: pd.DataFrame) -> np.ndarray:
-        out, mark = np.zeros(len(pdf), dtype=bool), 0.0
-        for i, x in enumerate(pdf[along]):
-            if x >= mark:
-                out[i], mark = True, mark + step
-        out[-1:] = True
-        return out
-
-    return _kept(df, key, order, keep)
+    end = F.lead(order).over(Window.partitionBy(key).orderBy(order)).isNull()
+    marked = df.withColumn("_end", end)
+    reached = lambda mark, row: (row[along] >= mark) | row["_end"]
+    return _kept(marked, key, order, F.lit(0.0), reached, lambda mark, row: mark + step).drop("_end")
 
 
 def smooth_climb(df: DataFrame, key: str, order: str, along: str, height: str, half: int = SMOOTH_M) -> DataFrame:

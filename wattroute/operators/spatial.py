@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattroute.functions import geo
@@ -23,14 +23,50 @@ def nearest_node(points: DataFrame, nodes: DataFrame, size: float = 0.1) -> Data
     n = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     d = geo.flat_distance_sq(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
     met = around(points.select("id", "lat", "lon"), size).join(n, ["cy", "cx"], "left")
-    best = F.min(F.when(F.col("node_id").isNotNull(), F.struct(F.round(d, 12).alias("d"), "node_id")))
+    best = F.min(F.when(F.col("node_id").isNotNull(), F.struct(F.round(d, 15).alias("d"), "node_id")))
     return met.groupBy("id").agg(best.alias("best")).select("id", F.col("best.node_id").alias("node_id"))
 
 
+def nearest_node_anywhere(points: DataFrame, nodes: DataFrame, size: float = 0.1) -> DataFrame:
+    """As nearest_node; points whose nine cells hold no node get the nearest of all nodes, from ever wider cells.
+
+    In cells of size s every node nearer than s * cos(lat) degrees is seen, so a hit within that is final; the
+    others go on with eight times the size. A point takes part in as many rounds as it is far from any node.
+    """
+    found = nearest_node(points, nodes, size)
+    left = points.select("id", "lat", "lon").join(found.where("node_id is null").select("id"), "id", "left_semi")
+    out = found.where("node_id is not null")
+    while size < 360:
+        size *= 8
+        n = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
+        d = geo.flat_distance_sq(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
+        best = around(left, size).join(n, ["cy", "cx"]).groupBy("id").agg(F.min(F.struct(F.round(d, 15).alias("d"), "node_id", "lat")).alias("best"))
+        sure = F.lit(size >= 360) | (F.sqrt("best.d") <= size * F.cos(F.radians("best.lat")))
+        done = best.where(sure).select("id", F.col("best.node_id").alias("node_id"))
+        out, left = out.unionByName(done), left.join(done.select("id"), "id", "left_anti")
+    return out.unionByName(left.select("id", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id")))
+
+
+def _columns(band: Column, size: float, degrees: float) -> Column:
+    """Number of cells around the globe in a band of latitude: each at least as wide as ``degrees`` of a great circle in the bands next to it."""
+    worst = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * size)
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(worst)) * (360 / (1.02 * degrees)))).cast("bigint")
+
+
 def within(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
-    """Pairs (id, other_id, distance_m) up to ``metres`` apart, each point with itself left out."""
-    size = metres / 60_000.0  # a cell is wider than the radius also where meridians converge (below 57 degrees)
-    b = others.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
+    """Pairs (id, other_id, distance_m) up to ``metres`` apart, each point with itself left out; near the poles and across longitude 180 too.
+
+    Cells are bands of latitude cut into as many columns as the band's narrowest circle allows; columns wrap around.
+    """
+    degrees = metres / geo.EARTH_M * (180 / 3.141592653589793)
+    size = 1.001 * degrees
+    column = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+    band = geo.cell(F.col("lat"), size)
+    b = others.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("cy"), column(F.col("lon"), _columns(band, size, degrees)).alias("cx"))
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    asked = points.select("id", "lat", "lon", F.explode(F.transform(near, lambda i: band + i)).alias("cy"))
+    n = _columns(F.col("cy"), size, degrees)
+    asked = asked.select("id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(column(F.col("lon"), n) + i, n)))).alias("cx"))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = around(points.select("id", "lat", "lon"), size).join(b, ["cy", "cx"]).withColumn("distance_m", d)
+    pairs = asked.join(b, ["cy", "cx"]).withColumn("distance_m", d)
     return pairs.where((F.col("distance_m") <= metres) & (F.col("id") != F.col("other_id"))).select("id", "other_id", "distance_m")

@@ -33,11 +33,11 @@ def edge_energy_by_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def speed_cap_legs(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of ten consecutive sources form a leg; time and energy of each under every speed cap."""
+    """Edges of ten consecutive sources form a leg; time and energy of each under every speed cap. A leg starts from standstill."""
     e = view(spark, d, "v_edge").withColumn("leg", F.floor(F.col("src") / 10)).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in (999.0, 110.0, 100.0, 90.0)])))
-    e = e.withColumn("eff", F.least("speed_kmh", "cap"))
+    e = e.withColumn("eff", F.least("speed_kmh", "cap")).where("eff > 0")
     before = F.lag("eff").over(Window.partitionBy("leg", "cap").orderBy("src", "dst"))
-    e = e.withColumn("delta", F.coalesce(F.col("eff") - before, F.lit(0.0)))
+    e = e.withColumn("delta", F.col("eff") - F.coalesce(before, F.lit(0.0)))
     e = e.withColumn("wh", _energy(e, "eff", F.col("delta")))
     return e.groupBy("leg", "cap").agg(rounded(F.sum(F.col("length_m") / F.col("eff") * 3.6), 4).alias("time_s"), rounded(F.sum("wh"), 4).alias("energy_wh"))
 
@@ -45,7 +45,8 @@ def speed_cap_legs(spark: SparkSession, d: str) -> DataFrame:
 def charge_duration(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "v_charger")
     seconds = physics.charge_seconds(physics.ALL_WHEEL, F.lit(0.1), F.lit(0.8), F.col("max_power_kw"), F.lit(0.5))
-    return c.select("id", rounded(seconds, 3).alias("charge_s"))
+    kinds = c.select("max_power_kw").distinct().withColumn("charge_s", rounded(seconds, 3))  # there are few powers; each is integrated once
+    return c.join(kinds, "max_power_kw").select("id", "charge_s")
 
 
 def charger_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -74,13 +75,15 @@ def bbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csr_degree(spark: SparkSession, d: str) -> DataFrame:
-    """Out-degree of each source and the offset of its first edge. The running sum is over nodes, in two levels."""
+    """Out-degree of each source and the offset of its first edge. The running sum is over nodes, in three levels."""
     n = view(spark, d, "v_edge").groupBy("src").agg(F.count(F.lit(1)).alias("degree")).withColumn("block", F.floor(F.col("src") / 1024))
     inner = Window.partitionBy("block").orderBy("src")
     n = n.withColumn("upto", F.sum("degree").over(inner) - F.col("degree"))
-    blocks = n.groupBy("block").agg(F.sum("degree").alias("all"))
-    before = blocks.alias("a").join(blocks.alias("b"), F.col("b.block") < F.col("a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("before"))
-    return n.join(before, "block").select("src", "degree", (F.col("before") + F.col("upto")).alias("first_edge"))
+    blocks = n.groupBy("block").agg(F.sum("degree").alias("all")).withColumn("top", F.floor(F.col("block") / 1024))
+    tops = blocks.groupBy("top").agg(F.sum("all").alias("total"))  # a row for a million nodes: one window over all of them is small
+    tops = tops.select("top", (F.sum("total").over(Window.orderBy("top")) - F.col("total")).alias("above"))
+    blocks = blocks.withColumn("within", F.sum("all").over(Window.partitionBy("top").orderBy("block")) - F.col("all")).join(tops, "top")
+    return n.join(blocks, "block").select("src", "degree", (F.col("above") + F.col("within") + F.col("upto")).alias("first_edge"))
 
 
 def way_attributes(spark: SparkSession, d: str) -> DataFrame:
@@ -165,14 +168,14 @@ ORACLE = {
     "edge_energy": _with("v_edge") + f"select src, dst, round({_energy_sql('speed_kmh')}, 6) energy_wh, round(length_m / speed_kmh * 3.6::double, 6) time_s from v_edge",
     "edge_energy_by_class": _with("v_edge") + f"select road_class, count(*) edges, round(sum({_energy_sql('speed_kmh')}), 4) energy_wh, round(sum(length_m), 4) length_m from v_edge group by 1",
     "speed_cap_legs": _with("v_edge") + f""", c as (select *, cast(floor(src / 10) as bigint) leg, least(speed_kmh, cap) eff from v_edge, (values (999.0::double), (110.0), (100.0), (90.0)) t(cap)),
-        l as (select *, coalesce(eff - lag(eff) over (partition by leg, cap order by src, dst), 0.0) dv from c)
+        l as (select *, eff - coalesce(lag(eff) over (partition by leg, cap order by src, dst), 0.0) dv from c)
         select leg, cap, round(sum(length_m / eff * 3.6::double), 4) time_s, round(sum({_energy_sql('eff', 'dv')}), 4) energy_wh from l group by 1, 2""",
     "charge_duration": _with("v_charger") + f"""select id, round(sum(3600 * ((0.8::double - 0.1::double) / {_STEPS}) * 70 / least({_lerp_sql(_SOC, physics.COLD_KW)} + 0.5 * ({_lerp_sql(_SOC, physics.WARM_KW)} - {_lerp_sql(_SOC, physics.COLD_KW)}), max_power_kw)), 3) charge_s
         from v_charger, unnest(range(0, cast({_STEPS} as bigint))) t(i) group by id""",
     "charger_pairs": _with("v_charger") + f"select a.id, b.id other_id, round({_hav('a', 'b')}, 4) distance_m from v_charger a join v_charger b on a.id <> b.id where {_hav('a', 'b')} <= 2000",
     "bearings": _with("v_edge", "v_node") + f"""select src, dst, round(fmod(degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 720, 360.0), 4) bearing,
         round({_hav('a', 'b')}, 4) metres from v_edge join v_node a on a.node_id = src join v_node b on b.node_id = dst""",
-    "nearest_node": _with("v_charger", "v_node") + """select id, node_id from (select c.id, n.node_id, row_number() over (partition by c.id order by round(power(n.lat - c.lat, 2) + power((n.lon - c.lon) * cos(radians(c.lat)), 2), 12) nulls last, n.node_id) k
+    "nearest_node": _with("v_charger", "v_node") + """select id, node_id from (select c.id, n.node_id, row_number() over (partition by c.id order by round(power(n.lat - c.lat, 2) + power((n.lon - c.lon) * cos(radians(c.lat)), 2), 15) nulls last, n.node_id) k
         from v_charger c left join v_node n on abs(floor(n.lat / 0.1) - floor(c.lat / 0.1)) <= 1 and abs(floor(n.lon / 0.1) - floor(c.lon / 0.1)) <= 1) where k = 1""",
     "bbox_filter": _with("v_charger") + "select id, name, max_power_kw from v_charger where lat >= 48.05 and lat <= 48.15 and lon >= 5.05 and lon <= 5.2",
     "bbox": _with("v_node") + "select min(lat) min_lat, max(lat) max_lat, min(lon) min_lon, max(lon) max_lon from v_node",

@@ -18,19 +18,27 @@ def split_lines(rest: str, chunk: str) -> tuple[list[str], str]:
     return done, parts[-1]
 
 
-def lines(chunks: DataFrame) -> DataFrame:
+def lines(chunks: DataFrame, at: str | None = None, quiet_s: int = 600) -> DataFrame:
     """Stream of (session, seq, chunk) to (session, line); the open line of each session is its state.
 
     Chunks of a micro-batch are put in order of seq; later batches are taken to follow earlier ones. A null chunk is empty.
+    With a time column ``at`` a session ends once the watermark is ``quiet_s`` past its last chunk: its open line is
+    dropped with its state. Without one, state is kept for as long as the stream runs.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         got = pd.concat(list(frames)).sort_values("seq")
         done, rest = split_lines(state.get[0] if state.exists else "", "".join(got["chunk"].fillna("")))
         state.update((rest,))
+        if at:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(got[at].max().timestamp() * 1000)) + quiet_s * 1000)
         yield pd.DataFrame({"session": [key[0]] * len(done), "line": pd.Series(done, dtype=object)})
 
-    return chunks.groupBy("session").applyInPandasWithState(run, "session bigint, line string", "rest string", "append", "NoTimeout")
+    timed = chunks.withWatermark(at, f"{quiet_s} seconds") if at else chunks
+    return timed.groupBy("session").applyInPandasWithState(run, "session bigint, line string", "rest string", "append", "EventTimeTimeout" if at else "NoTimeout")
 
 
 def assemble(frames: list[str]) -> list[tuple[str | None, str | None]]:
