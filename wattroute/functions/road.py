@@ -42,3 +42,16 @@ def guide_flags(highway: Column, junction: Column) -> Column:
         out = F.when(kind == name, k).otherwise(out)
     bit = lambda c, value: F.when(c, value).otherwise(0)
     return out + bit(highway.endswith("_link"), 16) + bit(junction.isin("roundabout", "circular"), 32)
+
+
+def flag_kind(flags: Column) -> Column:
+    """Class of the road, 1 fastest, from its guidance flags."""
+    return flags.bitwiseAND(15)
+
+
+def flag_link(flags: Column) -> Column:
+    return flags.bitwiseAND(16) != 0
+
+
+def flag_round(flags: Column) -> Column:
+    return flags.bitwiseAND(32) != 0

@@ -75,13 +75,21 @@ def speech_tier(distance_m: Column, speed_mps: Column, approach_m: Column) -> Co
     return F.when(distance_m <= NOW_M, 3).when((seconds <= NEAR_S) & (approach_m >= NEAR_APPROACH_M), 2).otherwise(far)
 
 
+def segment_share(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
+    """How far along the segment a-b (0 to 1) a point's nearest place lies, on a local plane."""
+    across = F.cos(F.radians((lat_a + lat_b) / 2)) * DEGREE_M
+    bx, by = (lon_b - lon_a) * across, (lat_b - lat_a) * DEGREE_M
+    px, py = (lon - lon_a) * across, (lat - lat_a) * DEGREE_M
+    square = bx * bx + by * by
+    return F.when(square > 0, clamp((px * bx + py * by) / F.nullif(square, F.lit(0.0)), 0.0, 1.0)).otherwise(0.0)
+
+
 def segment_distance_m(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     """Distance of a point from the segment a-b on a local plane; a segment without length is a point."""
     across = F.cos(F.radians((lat_a + lat_b) / 2)) * DEGREE_M
     bx, by = (lon_b - lon_a) * across, (lat_b - lat_a) * DEGREE_M
     px, py = (lon - lon_a) * across, (lat - lat_a) * DEGREE_M
-    square = bx * bx + by * by
-    share = F.when(square > 0, clamp((px * bx + py * by) / F.nullif(square, F.lit(0.0)), 0.0, 1.0)).otherwise(0.0)
+    share = segment_share(lat, lon, lat_a, lon_a, lat_b, lon_b)
     return F.sqrt(F.pow(px - share * bx, F.lit(2.0)) + F.pow(py - share * by, F.lit(2.0)))
 
 

@@ -60,3 +60,45 @@ def lon_lat(text: Column) -> Column:
     """Struct (lat, lon) of "[lon, lat]"; null if malformed."""
     part = lambda k: F.regexp_extract(text, r"^\s*\[([^,\]]+),([^,\]]+)\]\s*$", k).try_cast("double")
     return F.when(part(1).isNotNull() & part(2).isNotNull(), F.struct(part(2).alias("lat"), part(1).alias("lon")))
+
+
+# Maneuvers, and modifiers each with the side it bears to.
+MANEUVERS = ["depart", "arrive", "turn", "continue", "off ramp", "on ramp", "fork", "end of road", "roundabout"]
+MODIFIERS = [("straight", ""), ("slight left", "left"), ("slight right", "right"), ("left", "left"), ("right", "right"), ("sharp left", "left"), ("sharp right", "right"), ("u-turn", "")]
+TURN_TEXTS = {
+    "straight": "Continue straight", "slight left": "Turn slightly left", "slight right": "Turn slightly right", "left": "Turn left", "right": "Turn right",
+    "sharp left": "Turn sharp left", "sharp right": "Turn sharp right", "u-turn": "Make a U-turn",
+}
+
+
+def _choose(column: Column, texts: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for key, value in texts.items():
+        out = F.when(column == key, value).otherwise(out)
+    return out
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th; 11th to 13th."""
+    teen = (n % 100).between(11, 13)
+    return F.concat(n.cast("string"), F.when(~teen & (n % 10 == 1), "st").when(~teen & (n % 10 == 2), "nd").when(~teen & (n % 10 == 3), "rd").otherwise("th"))
+
+
+def step_text(maneuver: Column, modifier: Column, name: Column, ref: Column, exit_ref: Column, exit_count: Column, arrive: str | None = None) -> Column:
+    """What to do at a step, in words; roads by name, else by reference (several joined by slashes)."""
+    road = F.when(name != "", name).when(ref != "", F.replace(ref, F.lit(";"), F.lit(" / ")))
+    side = _choose(modifier, {m: s for m, s in MODIFIERS})
+    with_road = lambda base, lead: F.when(road.isNotNull(), F.concat(base, F.lit(lead), road)).otherwise(base)
+    to_side = F.when(side != "", F.concat(F.lit(" on the "), side)).otherwise("")
+    turn = _choose(modifier, TURN_TEXTS)
+    way = _choose(modifier, {"straight": "", "slight left": " slightly left", "slight right": " slightly right", "left": " left", "right": " right", "sharp left": " sharp left", "sharp right": " sharp right", "u-turn": " left"})
+    end = F.when(side == "left", "At the end of the road, turn left").when(side == "right", "At the end of the road, turn right").otherwise("Continue at the end of the road")
+    return (
+        F.when(maneuver == "depart", "Depart").when(maneuver == "arrive", f"Arrive at {arrive or 'your destination'}")
+        .when(maneuver == "turn", F.when(modifier == "u-turn", turn).otherwise(with_road(turn, " onto ")))
+        .when(maneuver == "continue", F.when(road.isNull(), "Continue").otherwise(F.concat(F.lit("Continue"), way, F.lit(" on "), road)))
+        .when(maneuver == "off ramp", F.when(exit_ref != "", F.concat(F.lit("Take exit "), exit_ref)).otherwise(F.concat(F.lit("Take the exit"), to_side)))
+        .when(maneuver == "on ramp", F.concat(F.lit("Take the ramp"), to_side)).when(maneuver == "fork", F.concat(F.lit("Keep "), F.when(side == "", "straight").otherwise(side)))
+        .when(maneuver == "end of road", with_road(end, " onto "))
+        .when(maneuver == "roundabout", F.when(exit_count.isNotNull(), F.concat(F.lit("At the roundabout, take the "), ordinal(exit_count), F.lit(" exit"))).otherwise("At the roundabout"))
+    )

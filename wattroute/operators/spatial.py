@@ -53,8 +53,9 @@ def _columns(band: Column, size: float, degrees: float) -> Column:
     return F.greatest(F.lit(1), F.floor(F.cos(F.radians(worst)) * (360 / (1.02 * degrees)))).cast("bigint")
 
 
-def within(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
-    """Pairs (id, other_id, distance_m) up to ``metres`` apart, each point with itself left out; near the poles and across longitude 180 too.
+def within(points: DataFrame, others: DataFrame, metres: float, keep_same: bool = False) -> DataFrame:
+    """Pairs (id, other_id, distance_m) up to ``metres`` apart; near the poles and across longitude 180 too. Each point with
+    itself is left out (with ``keep_same`` not: the sides hold different things).
 
     Cells are bands of latitude cut into as many columns as the band's narrowest circle allows; columns wrap around.
     """
@@ -69,4 +70,5 @@ def within(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
     asked = asked.select("id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(column(F.col("lon"), n) + i, n)))).alias("cx"))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     pairs = asked.join(b, ["cy", "cx"]).withColumn("distance_m", d)
-    return pairs.where((F.col("distance_m") <= metres) & (F.col("id") != F.col("other_id"))).select("id", "other_id", "distance_m")
+    near = pairs.where(F.col("distance_m") <= metres)
+    return (near if keep_same else near.where(F.col("id") != F.col("other_id"))).select("id", "other_id", "distance_m")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattroute.functions import geo, physics, road
-from wattroute.operators import spatial, trips
+from wattroute.operators import network, spatial, trips
 from wattroute.sources.views import SQL as VIEW
 from wattroute.sources.views import table, view
 from wattroute.streaming.latest import latest, windowed_counts
@@ -75,15 +75,8 @@ def bbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csr_degree(spark: SparkSession, d: str) -> DataFrame:
-    """Out-degree of each source and the offset of its first edge. The running sum is over nodes, in three levels."""
-    n = view(spark, d, "v_edge").groupBy("src").agg(F.count(F.lit(1)).alias("degree")).withColumn("block", F.floor(F.col("src") / 1024))
-    inner = Window.partitionBy("block").orderBy("src")
-    n = n.withColumn("upto", F.sum("degree").over(inner) - F.col("degree"))
-    blocks = n.groupBy("block").agg(F.sum("degree").alias("all")).withColumn("top", F.floor(F.col("block") / 1024))
-    tops = blocks.groupBy("top").agg(F.sum("all").alias("total"))  # a row for a million nodes: one window over all of them is small
-    tops = tops.select("top", (F.sum("total").over(Window.orderBy("top")) - F.col("total")).alias("above"))
-    blocks = blocks.withColumn("within", F.sum("all").over(Window.partitionBy("top").orderBy("block")) - F.col("all")).join(tops, "top")
-    return n.join(blocks, "block").select("src", "degree", (F.col("above") + F.col("within") + F.col("upto")).alias("first_edge"))
+    """Out-degree of each source and the offset of its first edge."""
+    return network.offsets(view(spark, d, "v_edge"), "src")
 
 
 def way_attributes(spark: SparkSession, d: str) -> DataFrame:
