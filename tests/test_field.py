@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattroute.functions import dialogue, physics, text
-from wattroute.operators import calibration, corridor, documents, network
+from wattroute.operators import calibration, corridor, documents, network, steps
 from wattroute.plans import field
 from wattroute.sources.views import view
 
@@ -136,3 +136,49 @@ def test_formats_are_checked(spark):
         documents.read_packs(bad).collect()
     answers = spark.createDataFrame([("220101", "620101"), ("220101", "6201"), ("220101", "620102"), ("F0", "30AA"), ("", "40")], "q string, a string")
     assert [r[0] for r in answers.select(dialogue.echoes(F.col("a"), F.col("q"))).collect()] == [True, False, False, True, False]
+
+
+def test_steps_of_junctions(spark):
+    """One route a rule: nodes on a plane by bearing, the route's edges and what else leaves each junction."""
+    rows, routes = [], {}
+
+    def route(name, *legs):
+        """legs: (bearing, length, flags, name, ref, alternatives [(bearing, flags, name, speed)])."""
+        base, at = len(rows) * 1000, 0
+        for k, (deg, length, flags, road_name, ref, others) in enumerate(legs):
+            slot = len(rows)
+            rows.append((slot, base + k, base + k + 1, float(length), 50.0, flags, road_name, ref, float(deg), float(deg)))
+            routes.setdefault(name, []).append(slot)
+            for j, (d, f, n, speed) in enumerate(others):
+                rows.append((len(rows), base + k, base + 500 + at + j, 10.0, speed, f, n, "", float(d), float(d)))
+            at += len(others)
+
+    res, sec, link, ring, mot = 7, 4, 4 | 16, 7 | 32, 1
+    route("right", (0, 100, res, "A", "", []), (90, 100, res, "B", "", [(0, res, "A", 50.0)]))
+    route("end", (0, 100, res, "A", "", []), (90, 100, res, "B", "", [(270, res, "C", 50.0)]))
+    route("fork", (0, 100, sec, "A", "", []), (15, 100, sec, "B", "", [(345, sec, "C", 50.0)]))
+    route("main", (0, 100, sec, "A", "", []), (5, 100, sec, "B", "", [(345, link, "", 50.0)]))
+    route("off", (0, 100, mot, "", "M1", []), (15, 100, 1 | 16, "", "", [(0, mot, "", 120.0)]))
+    route("on", (0, 100, sec, "A", "", []), (30, 100, link, "", "", [(0, sec, "A", 50.0)]))
+    route("rename", (0, 100, res, "A", "", []), (0, 100, res, "B", "", []))
+    route("blip", (0, 100, res, "A", "", []), (0, 20, res, "B", "", []), (0, 100, res, "C", "", []))
+    route("ring", (0, 100, sec, "A", "", []), (90, 20, ring, "", "", []), (0, 20, ring, "", "", [(90, res, "X", 30.0)]), (270, 100, sec, "B", "", [(0, ring, "", 30.0)]))
+    route("same", (0, 100, res, "A", "", []), (0, 100, res, "A", "", [(15, res, "C", 50.0)]))
+    schema = "slot int, src int, dst int, length_m double, speed_kmh double, flags int, name string, ref string, leave_deg double, arrive_deg double"
+    edges = spark.createDataFrame(rows, schema)
+    path = spark.createDataFrame([(n, k, s) for n, slots in routes.items() for k, s in enumerate(slots)], "route string, ord int, slot int")
+    got = {}
+    for r in steps.steps(path, edges).orderBy("route", "along_m", "ord").collect():
+        got.setdefault(r.route, []).append((r.maneuver, r.modifier, r.along_m, r.exit_count))
+    middle = {n: v[1:-1] for n, v in got.items()}
+    assert all(v[0][0] == "depart" and v[-1][0] == "arrive" for v in got.values())
+    assert middle == {
+        "right": [("turn", "right", 100.0, None)], "end": [("end of road", "right", 100.0, None)], "fork": [("fork", "slight right", 100.0, None)], "main": [("continue", "straight", 100.0, None)],
+        "off": [("off ramp", "straight", 100.0, None)], "on": [("on ramp", "slight right", 100.0, None)], "rename": [("continue", "straight", 100.0, None)], "blip": [("continue", "straight", 120.0, None)],
+        "ring": [("roundabout", "straight", 100.0, 2)], "same": [],
+    }
+    assert got["ring"][-1][2] == 240.0
+    signed = steps.signage(spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "slot int, node int"), spark.createDataFrame([(1, "X", "", "9"), (2, "Y", "B1", "")], "slot int, dest string, dest_ref string, junction_ref string"), spark.createDataFrame([(6, "12"), (7, "13")], "node int, exit_ref string"))
+    assert sorted((r.slot, r.dest, r.dest_ref, r.exit_ref) for r in signed.collect()) == [(1, "X", "", "9"), (2, "Y", "B1", "12"), (3, "", "", "13")]
+    line = spark.createDataFrame([(1, 0, 50.0, 5.0), (1, 1, 50.0, 5.0), (1, 2, 51.0, 5.0), (1, 3, 51.0, 5.001), (1, 4, 51.0, 5.001), (2, 0, 1.0, 1.0), (2, 1, 1.0, 1.0)], "edge int, seq int, lat double, lon double")
+    assert {r.edge: (round(r.leave_deg), round(r.arrive_deg)) for r in steps.end_bearings(line, "edge", "seq").collect()} == {1: (0, 90)}

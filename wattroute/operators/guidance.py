@@ -10,9 +10,9 @@ from wattroute.functions.rules import similar
 SHORT_M, CHAIN_M = 30.0, 400.0  # fixed values: a rename closer to the next step is noise; steps closer than this are spoken together
 
 
-def drop_short_renames(steps: DataFrame, key: str, along: str, maneuver: str) -> DataFrame:
-    """Without the "continue" steps that lie under SHORT_M before the next step; a closing one goes as well."""
-    w = Window.partitionBy(key).orderBy(along)
+def drop_short_renames(steps: DataFrame, key: str, along: str, maneuver: str, *then: str) -> DataFrame:
+    """Without the "continue" steps that lie under SHORT_M before the next step (by ``along``, then ``then``); a closing one goes as well."""
+    w = Window.partitionBy(key).orderBy(along, *then)
     gap = F.coalesce(F.lead(along).over(w) - F.col(along), F.lit(0))
     return steps.withColumn("_gap", gap).where((F.col(maneuver) != "continue") | (F.col("_gap") >= SHORT_M)).drop("_gap")
 

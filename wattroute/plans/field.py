@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattroute.functions import dialogue, geo, physics, road, text
-from wattroute.operators import calibration, corridor, documents, network, spatial
+from wattroute.operators import calibration, corridor, documents, network, spatial, steps
 from wattroute.plans.catalogue import _hav, _lerp_sql, _with, rounded
 from wattroute.sources.views import table, view
 from wattroute.streaming import sessions
@@ -298,10 +298,25 @@ def step_texts(spark: SparkSession, d: str) -> DataFrame:
     return w.select("p_partkey", text.step_text(*[F.col(c) for c in ("maneuver", "modifier", "name", "ref", "exit_ref", "exit_count")]).alias("text"))
 
 
+def route_steps(spark: SparkSession, d: str) -> DataFrame:
+    """From every node a staircase north and east over five edges; roads are the ways of their first node. Tested on literal junctions."""
+    n = view(spark, d, "v_node")
+    ends = lambda c: n.select(F.col("node_id").alias(c), F.col("lat").alias(f"{c}_lat"), F.col("lon").alias(f"{c}_lon"))
+    ways = view(spark, d, "v_way").select(F.col("way_id").alias("src"), road.guide_flags(F.col("highway"), F.col("junction")).alias("flags"), F.coalesce("name", F.lit("")).alias("name"), F.lit("").alias("ref"))
+    deg = geo.bearing_deg(*[F.col(c) for c in ("src_lat", "src_lon", "dst_lat", "dst_lon")])
+    e = view(spark, d, "v_edge").join(ends("src"), "src").join(ends("dst"), "dst").join(ways, "src")
+    e = e.select((F.col("src") * 1000000 + F.col("dst")).alias("slot"), "src", "dst", "length_m", "speed_kmh", "flags", "name", "ref", deg.alias("leave_deg"), deg.alias("arrive_deg"))
+    moves = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate([(0, 1), (1, 41), (41, 42), (42, 82), (82, 83)])])
+    path = n.select(F.col("node_id").alias("route"), F.inline(moves)).withColumn("slot", (F.col("route") + F.col("a")) * 1000000 + F.col("route") + F.col("b")).select("route", "ord", "slot")
+    whole = path.join(e.select("slot"), "slot", "left_semi").groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n = 5").select("route")
+    got = steps.steps(path.join(whole, "route", "left_semi"), e)
+    return got.select("route", "ord", rounded(F.col("along_m"), 3).alias("along_m"), "maneuver", "modifier", "exit_count", "name")
+
+
 QUERIES = [
     replay_trips, calibration_trips, calibration_summary, reference_use, charge_lookup, route_lines, corridor_sites, site_doubles, journey_cap, waypoint_sites, route_projection, adjacency,
     reverse_index, cheapest_edges, way_import, junction_nodes, missing_nodes, name_ids, snap_cells, strong_parts, largest_part, nearest_anywhere, pack_round_trip, log_round_trip, placemark_feed,
-    feed_times, remote_catalog, publish_plan, feed_outcomes, conclusions, setup_lists, poll_lists, payload_commands, session_answers, reading_rows, adapter_payloads, lenient_fields, signed_turns, step_texts,
+    feed_times, remote_catalog, publish_plan, feed_outcomes, conclusions, setup_lists, poll_lists, payload_commands, session_answers, reading_rows, adapter_payloads, lenient_fields, signed_turns, step_texts, route_steps,
 ]
 
 
