@@ -27,7 +27,7 @@ from wattroute.llm.cache import Cache
 from wattroute.llm.common import table, texts
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 200_000  # pieces, and words, in each of two generations
+CACHED = 100_000  # pieces, and words, in each of two generations
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,8 +69,10 @@ class Bpe:
         if self.lib is None:
             from tokenizers import Tokenizer
 
-            self.lib = Tokenizer.from_file(self.path)
-        words = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(piece))
+            whole = Tokenizer.from_file(self.path)
+            self.lib = whole.normalizer, whole.pre_tokenizer  # the vocabulary is not held twice
+        normalizer, splitter = self.lib
+        words = splitter.pre_tokenize_str(normalizer.normalize_str(piece))
         return [bytes(map(self.byte.__getitem__, w)) for w, _ in words]
 
     def merge(self, raw: bytes) -> list[int]:

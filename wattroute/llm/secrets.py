@@ -44,7 +44,7 @@ VALUE = re.compile(r"""[:=>]?\s{0,3}(?:[Bb]earer\s|[Bb]asic\s)?["'`]?([^\s"'`<>,
 BEARER = re.compile(r"""\b(?:[Bb]earer|BEARER|[Bb]asic|BASIC)\s{1,3}["']?([^\s"'`<>,;(){}\[\]]{8,})""")
 ADDRESS = re.compile(r"://[^\s:/@]{1,64}:([^\s@/]{4,})@")
 NAME_REACH = 48  # characters before a sign in which the naming word is looked for
-BEFORE, BODY, AFTER, WINDOWS = 32, 48, 16, 2048
+BEFORE, BODY, AFTER, WINDOWS = 32, 48, 16, 1024
 WIDTH = BEFORE + BODY + AFTER
 EMBED, SPAN, FILTERS, HIDDEN, EPOCHS, EXAMPLES, RECALL = 8, 5, 32, 16, 8, 6000, 0.96
 SCHEMA = "doc_id bigint, kinds array<string>, starts array<int>, ends array<int>"
