@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattroute.operators.routing import durable, edge_seconds
+from wattroute.functions.road import edge_seconds
+from wattroute.operators.rounds import durable
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

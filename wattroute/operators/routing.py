@@ -1,32 +1,18 @@
 """Least travel times over a road network by rounds of joins, many sources at once, and the routes behind them.
 
 A round extends only the labels that the last round improved and merges them with one aggregation by (source, node).
-Rounds are checkpointed in the shared folder, so the plan stays short and a lost executor costs one round. The number of
+Each round is written to the shared folder, so the plan stays short and a lost executor costs one round. The number of
 rounds is the number of edges of the longest best route (a time limit bounds it); state grows as sources times nodes reached.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a folder of our own only where that is unset (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wattroute-"))
-    return df.checkpoint()
-
-
-def edge_seconds(length_m: Column, speed_kmh: Column) -> Column:
-    return length_m.cast("double") / speed_kmh.cast("double") * 3.6
+from wattroute.functions.road import edge_seconds
+from wattroute.operators.network import strong_components
+from wattroute.operators.rounds import durable
 
 
 def _weights(edges: DataFrame) -> DataFrame:
@@ -64,12 +50,24 @@ def _relax(weights: DataFrame, labels: DataFrame, limit_s: float | None, wanted:
 def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each wanted (source, node) with its least cost, null only if no way leads there.
 
-    A source is followed only up to the farthest of its wanted nodes, once all of them have been reached; where one cannot
-    be, all that the source reaches is searched.
+    Pairs that no way joins are found first, from the strong components and what leads from one to another; the search then follows a
+    source only up to the farthest of its wanted nodes, once all of them have been reached.
     """
     wanted = durable(pairs.select("source", "node").distinct())
-    at = wanted.select("source", F.col("source").alias("node")).distinct()
-    labels = _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, wanted)
+    live = edges.where("speed_kmh > 0")
+    parts = durable(strong_components(live))
+    of = lambda c, n: parts.select(F.col("node").alias(c), F.col("component").alias(n))
+    steps = live.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b").select("a", "b").distinct()
+    steps = durable(steps)
+    placed = durable(wanted.join(of("source", "a"), "source", "left").join(of("node", "b"), "node", "left"))
+    seen = front = durable(placed.where("a is not null").select("a", F.col("a").alias("b")).distinct())
+    while not front.isEmpty():
+        ahead = front.withColumnRenamed("b", "via").join(steps.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
+        front = durable(ahead.join(seen, ["a", "b"], "left_anti"))
+        seen = durable(seen.unionByName(front))
+    open_ = durable(placed.join(seen, ["a", "b"], "left_semi").select("source", "node").unionByName(placed.where("source = node").select("source", "node")).distinct())
+    at = open_.select("source", F.col("source").alias("node")).distinct()
+    labels = _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
     return wanted.join(labels, ["source", "node"], "left")
 
 
