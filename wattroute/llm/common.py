@@ -40,6 +40,12 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB expression: the unsigned crc32 of an ASCII string, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::bigint), 4294967295::bigint)"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Texts of ASCII characters take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
