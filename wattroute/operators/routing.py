@@ -47,8 +47,8 @@ def _relax(weights: DataFrame, labels: DataFrame, limit_s: float | None, wanted:
     return labels.drop("fresh")
 
 
-def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each wanted (source, node) with its least cost, null only if no way leads there.
+def costs_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """source, node, cost_s: least costs from each source to its wanted nodes (source, node), where a way leads there, and to all nodes on the way.
 
     Pairs that no way joins are found first, from the strong components and what leads from one to another; the search then follows a
     source only up to the farthest of its wanted nodes, once all of them have been reached.
@@ -67,8 +67,12 @@ def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         seen = durable(seen.unionByName(front))
     open_ = durable(placed.join(seen, ["a", "b"], "left_semi").select("source", "node").unionByName(placed.where("source = node").select("source", "node")).distinct())
     at = open_.select("source", F.col("source").alias("node")).distinct()
-    labels = _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
-    return wanted.join(labels, ["source", "node"], "left")
+    return _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
+
+
+def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each wanted (source, node) with its least cost, null only if no way leads there."""
+    return pairs.select("source", "node").distinct().join(costs_to(edges, pairs), ["source", "node"], "left")
 
 
 def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:
