@@ -17,7 +17,7 @@ from wattroute.operators import asof, corridor, routing, sequences, spatial
 from wattroute.operators.charging import CAPS_KMH
 from wattroute.operators.rounds import durable
 
-CORRIDOR_M, GAP_M, FANOUT = 3000.0, 20_000, 30  # fixed values: width of the narrow corridor, least way to the next stop, most next stops
+CORRIDOR_M, WIDE_M, GAP_M, FANOUT = 3000.0, 10_000.0, 20_000, 30  # fixed values: widths of the narrow and the wide corridor, least way to the next stop, most next stops
 
 
 def drive(paths: DataFrame, edges: DataFrame, energy: Callable[[Column, Column], Column]) -> DataFrame:

@@ -17,6 +17,7 @@ round, cut to the millisecond; of equal labels that of the earlier predecessor (
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -219,3 +220,12 @@ def fewer_flags(narrow: DataFrame, wide: DataFrame) -> DataFrame:
     both = narrow.withColumn("corridor", F.lit("narrow")).unionByName(wide.withColumn("corridor", F.lit("wide"))).where("not alternative")
     best = both.groupBy("request").agg(F.min_by(F.struct(*both.columns), F.struct(flags, F.col("corridor") == "narrow")).alias("b"))
     return best.select("b.*")
+
+
+def widened(narrow: Callable[[DataFrame], DataFrame], wide: Callable[[DataFrame], DataFrame], points: DataFrame) -> DataFrame:
+    """totals() of each request: searched in the narrow corridor, and in the wide one only where that plan is flagged. narrow, wide: from points to totals()."""
+    first = durable(narrow(points))
+    flagged = durable(first.where("not alternative and (below_wanted or runs_out)").select("request"))
+    if flagged.isEmpty():
+        return fewer_flags(first, first.limit(0))
+    return fewer_flags(first, durable(wide(points.join(flagged, "request", "left_semi"))))

@@ -1,8 +1,9 @@
 """Least travel times over a road network by rounds of joins, many sources at once, and the routes behind them.
 
-A round extends only the labels that the last round improved and merges them with one aggregation by (source, node).
-Each round is written to the shared folder, so the plan stays short and a lost executor costs one round. The number of
-rounds is the number of edges of the longest best route (a time limit bounds it); state grows as sources times nodes reached.
+A round extends only the labels that the last round improved, by up to four edges at once (HOPS squarings of the weights, made once
+for all sources), and merges them with one aggregation by (source, node). Each round is written to the shared folder, so the plan stays
+short and a lost executor costs one round. The number of rounds is a quarter of the edges of the longest best route (a time limit bounds
+it); state grows as sources times nodes reached. Routes are read back by doubled jumps: their rounds are logarithmic.
 """
 
 from __future__ import annotations
@@ -21,12 +22,27 @@ def _weights(edges: DataFrame) -> DataFrame:
     return open_.groupBy("src", "dst").agg(F.min(edge_seconds(F.col("length_m"), F.col("speed_kmh"))).alias("w"))
 
 
+HOPS = 2  # squarings: a round follows up to 2 ** HOPS edges; a node of a road network has some tens of neighbours so near
+
+
+def _near(weights: DataFrame, limit_s: float | None = None) -> DataFrame:
+    """src, dst, w: least weights of up to 2 ** HOPS edges in a row."""
+    near = durable(weights)
+    for _ in range(HOPS):
+        on = near.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("more"))
+        two = near.join(on, "dst").where("src <> to").select("src", F.col("to").alias("dst"), (F.col("w") + F.col("more")).alias("w"))
+        if limit_s is not None:
+            two = two.where(F.col("w") <= limit_s)
+        near = durable(near.unionByName(two).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    return near
+
+
 def travel_costs(edges: DataFrame, sources: DataFrame, limit_s: float | None = None) -> DataFrame:
     """source, node, cost_s for every node reached from each source (column node_id) within ``limit_s`` (None: all).
 
     Unreachable nodes have no row; a source reaches itself at cost 0; repeated sources count once.
     """
-    weights = durable(_weights(edges))
+    weights = _near(_weights(edges), limit_s)
     at = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")).where("source is not null").distinct()
     return _relax(weights, durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), limit_s, None)
 
@@ -67,7 +83,7 @@ def costs_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         seen = durable(seen.unionByName(front))
     open_ = durable(placed.join(seen, ["a", "b"], "left_semi").select("source", "node").unionByName(placed.where("source = node").select("source", "node")).distinct())
     at = open_.select("source", F.col("source").alias("node")).distinct()
-    return _relax(durable(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
+    return _relax(_near(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
 
 
 def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -85,11 +101,15 @@ def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:
 
 def routes(edges: DataFrame, costs: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target, node, back (edges left to the target) of the best route to each (source, target) that was reached."""
-    prev = durable(predecessors(edges, costs))
+    jump = durable(predecessors(edges, costs).withColumnRenamed("prev", "to"))
+    jumps = []
+    while not jump.isEmpty():  # the k-th leads 2 ** k edges back
+        jumps.append(jump)
+        onward = jump.select("source", F.col("node").alias("to"), F.col("to").alias("then"))
+        jump = durable(jump.join(onward, ["source", "to"]).select("source", "node", F.col("then").alias("to")))
     wanted = targets.select("source", "target").distinct().join(costs.select("source", F.col("node").alias("target")), ["source", "target"])
-    found = front = durable(wanted.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back")))
-    while not front.isEmpty():
-        step = front.join(prev, ["source", "node"]).select("source", "target", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-        front = durable(step)
-        found = found.unionByName(front)
+    found = durable(wanted.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back")))
+    for k in range(len(jumps) - 1, -1, -1):
+        between = found.join(jumps[k], ["source", "node"]).select("source", "target", F.col("to").alias("node"), (F.col("back") + 2**k).alias("back"))
+        found = durable(found.unionByName(between))
     return found
