@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattroute.functions import geo, rules
@@ -36,25 +39,37 @@ def in_corridor(sites: DataFrame, line: DataFrame, width_m: float) -> DataFrame:
 
 def drop_doubles(candidates: DataFrame, keys: list[str], metres: float = DOUBLE_M) -> DataFrame:
     """Candidates (keys, ord, lat, lon, power_kw) without doubles: in order, each still there drops the later ones near it that are
-    not stronger, up to the first that is, for which it goes itself. Greedy and not transitive, so an ordered fold, in the JVM.
+    not stronger, up to the first that is, for which it goes itself.
 
-    The fold carries who is still there; a group is one segment's candidates (a few hundred at most by the cap of a journey).
+    Who is near comes from the cell join, so the ordered part looks at each candidate's short list alone. The candidates of a key stream by in
+    order; what is remembered is which of the later ones are gone.
     """
-    rest = [c for c in candidates.columns if c not in (*keys, "ord")]
-    rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias("rows"))
-    near = lambda a, b: geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) <= metres
-
-    def step(gone: Column, i: Column) -> Column:
-        me = F.get("rows", i)
-        later = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda j: (j > i) & ~F.array_contains(gone, j) & near(me, F.get("rows", j)))
-        stronger = F.filter(later, lambda j: F.get("rows", j)["power_kw"] > me["power_kw"])
-        upto = F.coalesce(F.get(stronger, F.lit(0)), F.size("rows"))
-        dropped = F.concat(F.filter(later, lambda j: j < upto), F.when(F.size(stronger) > 0, F.array(i)).otherwise(F.array().cast("array<int>")))
-        return F.when(F.array_contains(gone, i), gone).otherwise(F.concat(gone, dropped))
-
-    fold = F.aggregate(F.sequence(F.lit(0), F.size("rows") - 1), F.array().cast("array<int>"), step)
-    kept = rows.withColumn("gone", fold).select(*keys, F.filter("rows", lambda r, j: ~F.array_contains(F.col("gone"), j)).alias("rows"))
-    return kept.select(*keys, F.inline("rows")).select(*candidates.columns)
+    placed = candidates.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
+    at = placed.select(*keys, "lat", "lon", F.struct(*keys, "_place", "power_kw").alias("id"))
+    later = spatial.within(at, at, metres, keys=tuple(keys)).where("other_id._place > id._place")
+    other = F.struct(F.col("other_id._place").alias("place"), (F.col("other_id.power_kw") > F.col("id.power_kw")).alias("stronger"))
+    near = later.groupBy(*[F.col(f"id.{c}").alias(c) for c in keys], F.col("id._place").alias("_place")).agg(F.array_sort(F.collect_list(other)).alias("_near"))
+    rows = placed.join(near, [*keys, "_place"], "left").select(*candidates.columns, "_place", "_near")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set[int] = set()
+        for batch in batches:
+            stays = []
+            for place, near in zip(batch.column("_place").to_pylist(), batch.column("_near").to_pylist(), strict=True):
+                if place == 1:
+                    gone = set()
+                if place in gone:
+                    gone.remove(place)
+                    stays.append(False)
+                    continue
+                here = [x for x in near or [] if x["place"] not in gone]
+                upto = next((i for i, x in enumerate(here) if x["stronger"]), len(here))
+                gone.update(x["place"] for x in here[:upto])
+                stays.append(upto == len(here))
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    ordered = rows.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "_place")
+    return ordered.mapInArrow(kept, rows.schema).select(*candidates.columns)
 
 
 def strongest_overall(candidates: DataFrame, key: str, most: int = MOST) -> DataFrame:

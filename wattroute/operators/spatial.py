@@ -53,9 +53,9 @@ def _columns(band: Column, size: float, degrees: float) -> Column:
     return F.greatest(F.lit(1), F.floor(F.cos(F.radians(worst)) * (360 / (1.02 * degrees)))).cast("bigint")
 
 
-def within(points: DataFrame, others: DataFrame, metres: float, keep_same: bool = False) -> DataFrame:
+def within(points: DataFrame, others: DataFrame, metres: float, keep_same: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id, other_id, distance_m) up to ``metres`` apart; near the poles and across longitude 180 too. Each point with
-    itself is left out (with ``keep_same`` not: the sides hold different things).
+    itself is left out (with ``keep_same`` not: the sides hold different things). With ``keys`` only rows of equal keys meet.
 
     Cells are bands of latitude cut into as many columns as the band's narrowest circle allows; columns wrap around.
     """
@@ -63,12 +63,12 @@ def within(points: DataFrame, others: DataFrame, metres: float, keep_same: bool
     size = 1.001 * degrees
     column = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
     band = geo.cell(F.col("lat"), size)
-    b = others.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("cy"), column(F.col("lon"), _columns(band, size, degrees)).alias("cx"))
+    b = others.select(*keys, F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("cy"), column(F.col("lon"), _columns(band, size, degrees)).alias("cx"))
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asked = points.select("id", "lat", "lon", F.explode(F.transform(near, lambda i: band + i)).alias("cy"))
+    asked = points.select(*keys, "id", "lat", "lon", F.explode(F.transform(near, lambda i: band + i)).alias("cy"))
     n = _columns(F.col("cy"), size, degrees)
-    asked = asked.select("id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(column(F.col("lon"), n) + i, n)))).alias("cx"))
+    asked = asked.select(*keys, "id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(column(F.col("lon"), n) + i, n)))).alias("cx"))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = asked.join(b, ["cy", "cx"]).withColumn("distance_m", d)
+    pairs = asked.join(b, ["cy", "cx", *keys]).withColumn("distance_m", d)
     near = pairs.where(F.col("distance_m") <= metres)
     return (near if keep_same else near.where(F.col("id") != F.col("other_id"))).select("id", "other_id", "distance_m")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattroute.functions import dialogue, geo, physics, road, text
-from wattroute.operators import calibration, corridor, documents, network, spatial, steps
+from wattroute.operators import calibration, corridor, documents, network, sequences, spatial, steps
 from wattroute.plans.catalogue import _hav, _lerp_sql, _with, rounded
 from wattroute.sources.views import table, view
 from wattroute.streaming import sessions
@@ -65,7 +65,7 @@ def route_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def corridor_sites(spark: SparkSession, d: str) -> DataFrame:
     sites = view(spark, d, "v_charger").select(F.col("id").alias("site"), "lat", "lon")
-    got = corridor.in_corridor(sites, _line(spark, d).where("pos % 4 = 0"), 3000.0)  # the line's coarse samples
+    got = corridor.in_corridor(sites, sequences.downsample(_line(spark, d), "route", "pos", "cum_m"), 3000.0)
     return got.select("route", "site", rounded(F.col("pos_m"), 3).alias("pos_m"), rounded(F.col("off_m"), 3).alias("off_m"))
 
 
@@ -76,7 +76,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def site_doubles(spark: SparkSession, d: str) -> DataFrame:
     """Tested against the plain double loop."""
-    return corridor.drop_doubles(_candidates(spark, d), ["route"], 4000.0).select("route", "ord", "site")
+    return corridor.drop_doubles(_candidates(spark, d), ["route", "segment"], 4000.0).select("route", "segment", "ord", "site")
 
 
 def journey_cap(spark: SparkSession, d: str) -> DataFrame:
@@ -150,9 +150,9 @@ def snap_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _one_way(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that ECONOMY parts begin lead one way only, so some nodes cannot be reached or left."""
-    e = view(spark, d, "v_edge")
-    return e.where("road_class = 0 or dst > src").select("src", "dst")
+    """Edges that ECONOMY parts begin lead towards the higher number only, so some nodes cannot be reached or left."""
+    one, a, b = F.col("road_class") == 1, F.col("src"), F.col("dst")
+    return view(spark, d, "v_edge").select(F.when(one, F.least(a, b)).otherwise(a).alias("src"), F.when(one, F.greatest(a, b)).otherwise(b).alias("dst"))
 
 
 def strong_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +377,7 @@ ORACLE = {
         select requested, round(median, 5) median_ratio, round(refit, 5) reference_wh_per_km, round(mae, 5) mae_points, round(mx, 5) max_error_points, coalesce(mx <= 3 and mae <= 2, false) accepted from ft left join ok using (requested)""",
     "reference_use": f"with v as (select n_nationkey, n_nationkey * 4 + 150.0::double wanted, vehicle from nation, (values ('ev_2wd'), ('ev_awd')) t(vehicle)), r as (select *, {_reference_sql('1.0')} as ref, {_reference_sql('0.0')} as zero from v) select n_nationkey, vehicle, round(ref, 6) reference, round((wanted - zero) / (ref - zero), 6) scale from r",
     "route_lines": _with("v_node") + _LINE + " select route, cast(pos as integer) pos, round(lat, 6) lat, lon, round(cum_m, 4) cum_m from ln",
-    "corridor_sites": _with("v_node", "v_charger") + _LINE + f", m as (select l.route, c.id, l.pos, l.cum_m, round({_hav('c', 'l')}, 6) d from v_charger c, ln l where l.pos % 4 = 0 and {_hav('c', 'l')} <= 3000) select route, id site, round(arg_min(cum_m, d * 1000000 + pos), 3) pos_m, round(min(d), 3) off_m from m group by 1, 2",
+    "corridor_sites": _with("v_node", "v_charger") + _LINE + f", k as (select *, row_number() over (partition by route, floor(cum_m / 2000) order by pos) n, max(pos) over (partition by route) last from ln), m as (select l.route, c.id, l.pos, l.cum_m, round({_hav('c', 'l')}, 6) d from v_charger c, k l where (l.n = 1 or l.pos = l.last) and {_hav('c', 'l')} <= 3000) select route, id site, round(arg_min(cum_m, d * 1000000 + pos), 3) pos_m, round(min(d), 3) off_m from m group by 1, 2",
     "journey_cap": _with("v_node") + " select node_id, power_kw from (select node_id, node_id * 37 % 11 * 50.0::double power_kw, row_number() over (order by node_id * 37 % 11 desc, node_id // 100 desc, node_id % 100 desc) n from v_node) where n <= 300",
     "waypoint_sites": _with("v_charger") + _SITES + f""", w as (select route, n % 4 waypoint, arg_min(lat, n) + 0.0005::double lat, arg_min(lon, n) lon from cs where n % 4 < 3 group by 1, 2),
         nr as (select c.route, w.waypoint, c.n, c.id, c.p from cs c join w on w.route = c.route and c.n % 4 in (w.waypoint, w.waypoint + 1) where {_hav('c', 'w')} <= 3000)

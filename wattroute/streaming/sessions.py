@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PROMPT = ">"  # fixed value: the adapter is ready
 
@@ -41,40 +42,33 @@ def lines(chunks: DataFrame, at: str | None = None, quiet_s: int = 600) -> DataF
     return timed.groupBy("session").applyInPandasWithState(run, "session bigint, line string", "rest string", "append", "EventTimeTimeout" if at else "NoTimeout")
 
 
-def assemble(frames: list[str]) -> list[tuple[str | None, str | None]]:
-    """(payload, None) or (None, problem) out of the hex frames of one request, in order.
-
-    A frame's first digit tells its kind: 0 whole payload, 1 first of several, 2 the next one, numbered modulo 16.
-    A new first frame discards what was pending; a wrong number drops it.
-    """
-    out: list[tuple[str | None, str | None]] = []
-    held, want, number = "", 0, 0
-    for frame in frames:
-        kind, body = frame[:1], frame[2:]
-        if kind == "0":
-            n = int(frame[1:2], 16) * 2
-            out.append((body[:n], None) if 0 < n <= len(body) else (None, "length"))
-        elif kind == "1":
-            held, want, number = frame[4:], int(frame[1:4], 16) * 2, 1
-        elif kind == "2" and want and int(frame[1:2], 16) == number % 16:
-            held, number = held + body, number + 1
-            if len(held) >= want:
-                out.append((held[:want], None))
-                held, want = "", 0
-        elif kind == "2":
-            out.append((None, "sequence" if want else "unexpected"))
-            held, want = "", 0
-        else:
-            out.append((None, "kind"))
-    return out
-
-
 def payloads(frames: DataFrame) -> DataFrame:
-    """Table of (session, request, seq, frame) to (session, request, payload, problem); a request has few frames."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = assemble(pdf.dropna(subset=["frame"]).sort_values("seq")["frame"].tolist())
-        head = {c: [pdf[c].iloc[0]] * len(got) for c in ("session", "request")}
-        return pd.DataFrame(head | {"payload": pd.Series([p for p, _ in got], dtype=object), "problem": pd.Series([p for _, p in got], dtype=object)})
+    """Table of (session, request, seq, frame) to (session, request, payload, problem), in hex; a request has few frames (4,095 bytes at most).
 
-    return frames.groupBy("session", "request").applyInPandas(run, "session bigint, request bigint, payload string, problem string")
+    A frame's first digit tells its kind: 0 whole payload, 1 first of several, 2 the next one, numbered modulo 16. A new first frame discards
+    what was pending; a wrong number drops it. The frames of a request are folded in order in the JVM.
+    """
+    number = lambda digits: F.coalesce(F.conv(digits, 16, 10).cast("int"), F.lit(0))
+    nothing = F.array().cast("array<struct<payload:string,problem:string>>")
+    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("want"), F.lit(0).alias("number"), nothing.alias("out"))
+
+    def step(state: Column, frame: Column) -> Column:
+        kind, whole, length = F.substring(frame, 1, 1), F.substring(frame, 3, 1 << 20), number(F.substring(frame, 2, 1)) * 2
+        fits = (length > 0) & (length <= F.length(whole))
+        held, want = F.concat(state["held"], whole), state["want"]
+        follows = (want > 0) & (number(F.substring(frame, 2, 1)) == state["number"] % 16)
+        full = F.length(held) >= want
+        said = lambda payload, problem: F.concat(state["out"], F.array(F.struct(payload.cast("string").alias("payload"), problem.cast("string").alias("problem"))))
+        none = F.lit(None)
+        made = lambda h, w, n, out: F.struct(h.alias("held"), w.alias("want"), n.alias("number"), out.alias("out"))
+        empty, zero = F.lit(""), F.lit(0)
+        whole_one = made(state["held"], want, state["number"], F.when(fits, said(F.left(whole, length), none)).otherwise(said(none, F.lit("length"))))
+        first = made(F.substring(frame, 5, 1 << 20), number(F.substring(frame, 2, 3)) * 2, F.lit(1), state["out"])
+        going_on = F.when(full, made(empty, zero, state["number"] + 1, said(F.left(held, want), none))).otherwise(made(held, want, state["number"] + 1, state["out"]))
+        lost = made(empty, zero, state["number"], said(none, F.when(want > 0, F.lit("sequence")).otherwise(F.lit("unexpected"))))
+        odd = made(state["held"], want, state["number"], said(none, F.lit("kind")))
+        return F.when(kind == "0", whole_one).when(kind == "1", first).when((kind == "2") & follows, going_on).when(kind == "2", lost).otherwise(odd)
+
+    rows = frames.where("frame is not null").groupBy("session", "request").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]).alias("frames"))
+    folded = rows.withColumn("out", F.aggregate("frames", start, step, lambda s: s["out"]))
+    return folded.select("session", "request", F.inline("out"))
