@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattroute.functions import geo, rules
-from wattroute.operators import spatial
+from wattroute.operators import lines, spatial
 
 DOUBLE_M, WAYPOINT_M, MOST = 300.0, 150.0, 300  # fixed values: nearer sites are one, a site so near is at the waypoint, sites of a journey
+NEAR_M = 1000.0  # cells of this size tell which segments a point meets
 
 
 def route_line(route_edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -94,11 +95,9 @@ def merge_waypoints(candidates: DataFrame, waypoints: DataFrame, metres: float =
 def project(points: DataFrame, line: DataFrame, key: str) -> DataFrame:
     """Each point (key, id, lat, lon) with the nearest place of its line: along_m, off_m; the first segment of equals.
 
-    line(key, pos, lat, lon, cum_m). A point meets all segments of its own line and keeps one by a partial minimum; lines are routes.
+    line(key, pos, lat, lon, cum_m). A point meets the segments of its line in the cells around it; only points farther than NEAR_M from all of it meet the whole line.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    seg = line.select(key, "pos", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "cum_m", *[F.lead(c).over(w).alias(f"{c}_b") for c in ("lat", "lon", "cum_m")]).where("lat_b is not null")
-    args = [F.col(c) for c in ("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")]
-    met = points.join(seg, key).select(key, "id", "pos", F.round(rules.segment_distance_m(*args), 6).alias("off"), (F.col("cum_m") + rules.segment_share(*args) * (F.col("cum_m_b") - F.col("cum_m"))).alias("along"))
-    best = met.groupBy(key, "id").agg(F.min(F.struct("off", "pos", "along")).alias("b"))
-    return best.select(key, "id", F.col("b.along").alias("along_m"), F.col("b.off").alias("off_m"))
+    ends = [F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
+    measure = lambda lat, lon: (rules.segment_share(lat, lon, *ends), F.round(rules.segment_distance_m(lat, lon, *ends), 6))
+    best, _ = lines.nearest(points.withColumnRenamed(key, "line"), lines.segments(line.withColumnRenamed(key, "line")), NEAR_M, measure)
+    return best.select(F.col("line").alias(key), "id", F.col("c.along_m").alias("along_m"), F.col("c.off_m").alias("off_m"))
