@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from wattroute.llm.common import crc_mod, table, texts
+from wattroute.llm.common import crc_mod, packed, table, texts
 
 SAMPLE, BINS, DEPTH, TREES, RATE, PATIENCE, MIN_LEAF = 20_000, 64, 4, 150, 0.1, 15, 20
 ACCEPT = 0.3
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
             x = features(batch.column(1).to_pylist(), classes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["doc_id", "x", "quality"])
 
-    rows = texts(docs).join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id bigint, x binary, quality int").limit(2 * SAMPLE)
+    rows = texts(docs).join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id bigint, x binary, quality int").orderBy("doc_id", "x").limit(2 * SAMPLE)
     got = sorted((r.doc_id, bytes(r.x), r.quality) for r in rows.toLocalIterator())
     return boost(np.array([np.frombuffer(x, dtype=np.float32) for _, x, _ in got]), np.array([q for _, _, q in got], dtype=np.int64))
 
@@ -154,7 +155,7 @@ def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ()) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), *batch.columns[2:]], names)
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("scored_text")
-    out = docs.select("doc_id", text, *keep).mapInArrow(run, "doc_id bigint, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema))
+    out = docs.select("doc_id", text, *keep).mapInArrow(run, StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *schema]))
     return out
 
 
@@ -163,9 +164,8 @@ def fold(doc_id="doc_id"):
 
 
 def keep_good(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows of score ACCEPT or more; all their columns."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, trees, others).where(F.col("score") >= ACCEPT).select(*docs.columns)
+    """The rows of score ACCEPT or more; all their columns, whatever their names."""
+    return score(packed(docs), trees, ("row",)).where(F.col("score") >= ACCEPT).select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,9 +343,11 @@ def redact(docs: DataFrame, net: Network, mark: str = "[secret]") -> DataFrame:
             if "n_chars" in columns:
                 changed = [n if a == b else len(a) for n, a, b in zip(columns["n_chars"].to_pylist(), done, rows, strict=True)]
                 columns["n_chars"] = pa.array(changed, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], numbers)
 
-    return docs.mapInArrow(run, docs.schema)
+    numbers = [f"c{i}" for i in range(len(names))]  # names with dots can't be passed on
+    plain = docs.toDF(*numbers)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

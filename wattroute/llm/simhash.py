@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattroute.llm.common import components, materialise, table, texts
+from wattroute.llm.common import components, materialise, packed, table, texts
 
 N, K, RADIUS, REACH = 23, 12, 3, 1
 GOLAY = 0xC75  # fixed value: generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -340,8 +340,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = components(similar_links(whole.join(distinct, ["node", "doc_id", "h"], "left_semi"), named))
     least = distinct.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("doc_id", "h")).alias("own"))
     keep = least.select("own.doc_id", "own.h").unionByName(prints.where("node is null").select("doc_id", "h")).distinct()
-    kept = named.withColumn("h", F.xxhash64("text")).join(keep, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = packed(named).select("row", "doc_id", F.xxhash64("text").alias("h")).join(keep, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
