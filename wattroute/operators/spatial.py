@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattroute.functions import geo
+from wattroute.operators.rounds import durable
+
+SHARES = 16  # cells of a wide cell, to a side
 
 
 def around(df: DataFrame, size: float) -> DataFrame:
@@ -31,19 +34,31 @@ def nearest_node_anywhere(points: DataFrame, nodes: DataFrame, size: float = 0.1
     """As nearest_node; points whose nine cells hold no node get the nearest of all nodes, from ever wider cells.
 
     In cells of size s every node nearer than s * cos(lat) degrees is seen, so a hit within that is final; the
-    others go on with eight times the size. A point takes part in as many rounds as it is far from any node.
+    others go on with eight times the size. A point takes part in as many rounds as it is far from any node. In wide cells a point meets only the
+    nodes of the narrower cells (SHARES to a side) that can hold its nearest: a cell counts if its nearest corner is no farther than the farthest
+    corner of some other cell. The points left are written each round, so plans do not grow.
     """
-    found = nearest_node(points, nodes, size)
-    left = points.select("id", "lat", "lon").join(found.where("node_id is null").select("id"), "id", "left_semi")
+    found = durable(nearest_node(points, nodes, size))
+    left = durable(points.select("id", "lat", "lon").join(found.where("node_id is null").select("id"), "id", "left_semi"))
     out = found.where("node_id is not null")
-    while size < 360:
+    while size < 360 and not left.isEmpty():
         size *= 8
-        n = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
+        part = size / SHARES
+        n = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), geo.cell(F.col("lat"), part).alias("py"), geo.cell(F.col("lon"), part).alias("px"))
+        boxes = n.groupBy("py", "px").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("node_lat", "node_lon") for f in (F.min, F.max)])
+        boxes = boxes.withColumn("cy", F.floor(F.col("py") / SHARES)).withColumn("cx", F.floor(F.col("px") / SHARES))
+        met = around(left, size).join(boxes, ["cy", "cx"])
+        gap = lambda c: F.greatest(F.col(f"min_node_{c}") - F.col(c), F.col(c) - F.col(f"max_node_{c}"), F.lit(0.0))
+        reach = lambda c: F.greatest(F.abs(F.col(f"min_node_{c}") - F.col(c)), F.abs(F.col(f"max_node_{c}") - F.col(c)))
+        square = lambda of: of("lat") * of("lat") + F.pow(of("lon") * F.cos(F.radians("lat")), F.lit(2.0))
+        near = durable(met.select("id", "lat", "lon", "py", "px", square(gap).alias("near"), square(reach).alias("far")))
+        bound = near.groupBy("id").agg(F.min("far").alias("bound"))
+        asked = near.join(bound, "id").where(F.col("near") <= F.col("bound") * (1 + 1e-9) + 1e-12)
         d = geo.flat_distance_sq(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
-        best = around(left, size).join(n, ["cy", "cx"]).groupBy("id").agg(F.min(F.struct(F.round(d, 15).alias("d"), "node_id", "lat")).alias("best"))
+        best = durable(asked.join(n, ["py", "px"]).groupBy("id").agg(F.min(F.struct(F.round(d, 15).alias("d"), "node_id", "lat")).alias("best")))
         sure = F.lit(size >= 360) | (F.sqrt("best.d") <= size * F.cos(F.radians("best.lat")))
         done = best.where(sure).select("id", F.col("best.node_id").alias("node_id"))
-        out, left = out.unionByName(done), left.join(done.select("id"), "id", "left_anti")
+        out, left = out.unionByName(done), durable(left.join(done.select("id"), "id", "left_anti"))
     return out.unionByName(left.select("id", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id")))
 
 

@@ -415,3 +415,9 @@ ORACLE = {
 }
 ORACLE["adjacency"] = _with("v_edge") + """, a as (select src n, string_agg(dst::varchar, ',' order by dst) o from (select distinct src, dst from v_edge) group by 1), b as (select dst n, string_agg(src::varchar, ',' order by src) i from (select distinct src, dst from v_edge) group by 1)
     select coalesce(a.n, b.n) node_id, coalesce(o, '') out, coalesce(i, '') as into from a full join b on a.n = b.n"""
+ORACLE["route_projection"] = _with("v_node", "v_charger") + _LINE + """, sg as (select route, pos, lat la, lon oa, cum_m ca, lead(lat) over w lb, lead(lon) over w ob, lead(cum_m) over w cb from ln window w as (partition by route order by pos)),
+    c as (select cast(floor(round((lon - 5) / 0.007::double, 6)) as bigint) route, id, lat, lon from v_charger), g as (select *, cos(radians((la + lb) / 2)) * 111320.0::double k from sg where lb is not null),
+    q as (select g.route, id, pos, ca, cb, (ob - oa) * k bx, (lb - la) * 111320.0::double by_, (c.lon - oa) * k px, (c.lat - la) * 111320.0::double py from g join c using (route)),
+    t as (select *, case when bx * bx + by_ * by_ > 0 then least(greatest((px * bx + py * by_) / (bx * bx + by_ * by_), 0), 1) else 0 end t from q),
+    d as (select route, id, pos, round(sqrt((px - t * bx) ** 2 + (py - t * by_) ** 2), 6) off, ca + t * (cb - ca) along from t), r as (select *, row_number() over (partition by route, id order by off, pos) n from d)
+    select route, id, round(along, 2) along_m, round(off, 3) off_m from r where n = 1"""
