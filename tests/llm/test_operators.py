@@ -369,19 +369,35 @@ def test_lm(docs, empty):
     assert {r.score for r in lm.score(docs, empty).collect()} == {0.0}  # one unknown word is all there is
 
 
-def test_seating_moves_have_the_right_distribution():
-    """The share of each number of tables against the exact one, from the recursion over partitions."""
-    draw = np.random.default_rng(3)
-    for n, fresh, discount in [(2, 0.4, 0.6), (5, 0.7, 0.5), (9, 3.0, 0.3), (12, 0.2, 0.8)]:
-        exact = {1: 1.0}
-        for c in range(1, n):
-            exact = {t: exact.get(t, 0) * (c - discount * t) + exact.get(t - 1, 0) for t in range(1, c + 2)}
-        weight = {t: x * fresh**t for t, x in exact.items()}
-        m = 20_000
-        sizes, tables = lm.moves(np.full(m, n), np.full(m, fresh), discount, np.full(m, n), np.ones(m, dtype=np.int64), 12 * n, draw)
-        assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == n).all()
-        for t, x in weight.items():
-            assert abs((tables == t).mean() - x / sum(weight.values())) < 0.02, (n, t)
+def exact_tables(n, fresh, discount, most):
+    """Probability of each number of tables up to ``most``, from the recursion over partitions."""
+    logs = np.full(most + 2, -np.inf)
+    logs[1], t = 0, np.arange(1, most + 1)
+    for c in range(1, n):
+        stay = np.where(c > t * discount, np.log(np.maximum(c - t * discount, 1e-300)), -np.inf)
+        logs[1 : most + 1] = np.logaddexp(logs[t] + stay, logs[t - 1])
+    x = logs[t] + t * math.log(fresh)
+    return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+
+def test_few_customers_are_seated_by_the_exact_law():
+    draw, m = np.random.default_rng(3), 20_000
+    for n, fresh, discount in [(2, 0.4, 0.6), (5, 0.7, 0.5), (9, 3.0, 0.3), (12, 0.2, 0.8), (lm.FEW, 2.0, 0.7)]:
+        tables, p = lm.seat(np.full(m, n), np.full(m, fresh), discount, draw), exact_tables(n, fresh, discount, n)
+        for t in range(1, n + 1):
+            assert abs((tables == t).mean() - p[t - 1]) < 0.02, (n, t)
+    mixed = lm.seat(np.array([1, 2, 500, 3, 1, 70]), np.full(6, 0.5), 0.5, draw)
+    assert (mixed >= 1).all() and (mixed <= np.array([1, 2, 500, 3, 1, 70])).all()
+
+
+@pytest.mark.parametrize("n, fresh", [(20, 0.5), (65, 2.0), (200, 5.0), (200, 100.0), (2000, 0.6), (2000, 5.0), (2000, 300.0), (20_000, 0.6), (20_000, 20.0)])
+def test_tables_of_a_round_have_the_exact_mean(n, fresh):
+    """One round, children and parents alike (small weights): within 5 % of the exact mean."""
+    for discount in (0.4, 0.7):
+        p = exact_tables(n, fresh, discount, min(n, 1000))
+        m = 300 if fresh >= 100 else 4000
+        got = lm.seat(np.full(m, n), np.full(m, fresh), discount, np.random.default_rng(n)).mean()
+        assert got == pytest.approx((p * np.arange(1, len(p) + 1)).sum(), rel=0.05)
 
 
 def plain_sampler(texts, asked, discount, parent_discount, sweeps=150, strength=1.0):

@@ -4,12 +4,13 @@ Every word of the training texts is a context with a restaurant of its own and a
 parent restaurant of words, whose own base is uniform over the vocabulary and one unknown word. Customers of a context are
 its bigrams; its tables are the customers of the parent.
 
-Seating is sampled by Gibbs moves of single customers: one leaves its table and sits down again by the Chinese-restaurant rule.
+Seating is sampled by Gibbs steps that seat all customers of a dish anew by the Chinese-restaurant rule.
 A gamma variable for each restaurant (of shape strength / discount + tables) stands in for its number of tables, so that given
 it and the parent's probabilities the dishes of a restaurant are independent: this is what lets one restaurant be
-seated in many tasks at once, exactly. The parent's probabilities are held while its children are seated, then the
-parent is seated anew for its new customers; that is one round. A dish with one customer has one table whatever is drawn. Of a dish with many
-customers MOVES are drawn at random each round (a random scan). The last KEEP rounds are averaged:
+seated in many tasks at once. Only the number of tables counts then: for dishes of few customers it is drawn from its
+exact law, for those of many by a chain that proposes whole seatings, restarted each round, so no seating is carried on and none
+is stale. The parent's probabilities are held while its children are seated, then the parent is seated anew for its new customers;
+that is one round. A dish with one customer has one table whatever is drawn. The last KEEP rounds are averaged:
 p(word | context) = (n - discount * tables + (strength + discount * all tables) * p(word)) / (strength + customers).
 
 Scale: words are 62-bit hashes (numbers for the HOT most frequent). Bigrams are counted in the tasks and shuffled as packed,
@@ -45,7 +46,9 @@ HOT = 100_000  # words that have short numbers and whose probabilities every tas
 BUCKET = 1_200_000  # training tokens, about, of a bucket
 FLUSH = 1_000_000  # tokens that a task combines at once
 ROUNDS, KEEP, STRENGTH = 3, 2, 1.0
-MOVES = [(4, 4), (32, 12), (1 << 62, 48)]  # (customers of a dish up to, moves a round)
+FEW = 64  # customers of a dish up to which the law of its tables is written out
+PROPOSALS, TRIES = 16, 40  # moves of a dish with more customers in a round, and more of them where none was possible yet
+FILL = [0.95, 0.5, 0.85, 0.7]  # shares of a dish that a move fills before the last table
 END, START, COLD = b" ", 0, 1 << 62  # no word holds a space; number 0 is the context before a text; hashed words are COLD and above
 SEED = 42
 CACHE = 500_000  # frequent bigrams whose scores every task holds
@@ -257,68 +260,96 @@ def bigram_tables(packed: DataFrame, plan: Plan) -> DataFrame:
         many = n > 1
         if many.any():
             own, ones = np.unique(of[many]), np.ones(int(many.sum()), dtype=np.int64)
-            out.append(("state", bucket, None, None, None, pack(gaps(u[many]), w[many], n[many], ones, 0 * ones, n[many], gaps(contexts[own]), customers[own], singles[own])))
+            out.append(("state", bucket, None, None, None, pack(gaps(u[many]), w[many], n[many], ones, 0 * ones, gaps(contexts[own]), customers[own], singles[own])))
         return rows_of(out)
 
     return packed.groupBy("bucket").applyInArrow(merge, ROW)
 
 
-def moves(n: np.ndarray, fresh: np.ndarray, discount: float, sizes: np.ndarray, tables: np.ndarray, steps: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """``steps`` Gibbs moves for each dish (n >= 2 customers at ``tables`` tables, their ``sizes`` dish after dish).
+def stirling(discount: float, most: int) -> np.ndarray:
+    """log of the generalised Stirling numbers S(n, t): the weight of all ways to seat n customers at t tables, tables not told apart."""
+    out = np.full((most + 1, most + 2), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, most):
+        t = np.arange(1, n + 1)
+        out[n + 1, t] = np.logaddexp(out[n, t - 1], out[n, t] + np.log(n - t * discount))
+        out[n + 1, n + 1] = out[n, n]
+    return out
+
+
+def table_size(discount: float, k: np.ndarray) -> np.ndarray:
+    """log of the probability that a table has k customers, if tables are filled without regard to how many customers there are."""
+    j = np.arange(1, 4096, dtype=np.float64)
+    exact = np.concatenate([[math.log(discount)], math.log(discount) + np.cumsum(np.log((j - discount) / (j + 1)))])
+    k = np.maximum(k, 1)
+    far = np.maximum(k, 4096).astype(np.float64)
+    tail = math.log(discount) - math.lgamma(1 - discount) - (1 + discount) * np.log(far) + np.log1p(discount * (1 + discount) / (2 * far))
+    return np.where(k <= 4096, exact[np.minimum(k, 4096).astype(np.int64) - 1], tail)
 
-    A random customer leaves and sits at a table with weight (its size - discount), at a new one with weight ``fresh``: a table
-    is proposed by its size and taken with probability 1 - discount / size, else everything is drawn again.
+
+def crowds(n: np.ndarray, fresh: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with many customers: PROPOSALS moves of a chain whose move seats all customers of a dish anew.
+
+    Tables come as a Poisson number (mean fresh / discount) of independent sizes, thinned by a power of ``z`` so that they fill a share
+    (of FILL, in turn) of the dish; one more table, which must be the largest, takes the customers left. What this proposes is the wanted
+    law but for the weight of the last table, by which a move is taken or not.
+    """
+    rate, log_z = fresh / discount, []
+    for share in FILL:
+        low, high = np.full(len(n), -60.0), np.full(len(n), -1e-12)  # log of 1 - z, halved towards the share asked for
+        for _ in range(50):
+            y = (low + high) / 2
+            small = np.log(fresh) + np.log(-np.expm1(y)) + (discount - 1) * y < np.log(share * n)
+            low, high = np.where(small, low, y), np.where(small, y, high)
+        log_z.append(np.log1p(-np.exp(low)))
+
+    def propose(of: np.ndarray, log_z: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tables, last table, log of how many are as large, whether that is a seating."""
+        who = np.repeat(np.arange(len(of)), draw.poisson(rate[of]))
+        size = np.floor(np.log(draw.random(len(who))) / np.log1p(-np.minimum(draw.beta(discount, 1 - discount, len(who)), 1 - 1e-16)) + 1)
+        size = np.minimum(np.nan_to_num(size, nan=1e15, posinf=1e15), 1e15)
+        stays = np.log(draw.random(len(who))) < size * log_z[who]
+        who, size = who[stays], size[stays]
+        others, most = np.bincount(who, size, minlength=len(of)), np.zeros(len(of))
+        np.maximum.at(most, who, size)
+        last = n[of] - others
+        equal = 1 + np.bincount(who[size == last[who]], minlength=len(of))
+        return np.bincount(who, minlength=len(of)) + 1, last, np.log(equal), last >= np.maximum(most, 1)
+
+    tables, last, equal, seated = np.ones(len(n), dtype=np.int64), n.astype(np.float64), np.zeros(len(n)), np.zeros(len(n), dtype=bool)
+    for turn in range(PROPOSALS + TRIES):
+        of = np.arange(len(n)) if turn < PROPOSALS else np.flatnonzero(~seated)  # a dish without any seating yet tries on
+        if not len(of):
+            break
+        z = log_z[turn % len(FILL)][of]
+        t, l, e, fits = propose(of, z)
+        gain = table_size(discount, l) + l * z - e - (table_size(discount, last[of]) + last[of] * z - equal[of])
+        taken = fits & (~seated[of] | (np.log(draw.random(len(of))) < gain))
+        at = of[taken]
+        tables[at], last[at], equal[at], seated[at] = t[taken], l[taken], e[taken], True
+    return np.minimum(tables, n)
+
+
+def seat(n: np.ndarray, fresh: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
+    """Tables of each dish (n >= 1 customers) seated anew, a new table having weight ``fresh``: one Gibbs step for all customers of a dish together.
+
+    Up to FEW customers the number of tables is drawn from its law (Stirling numbers), beyond that by crowds().
     """
-    if not len(n):
-        return sizes, tables
-    start = np.concatenate([[0], np.cumsum(tables + steps)])
-    seats = np.zeros(start[-1], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(tables)])
-    seats[np.repeat(start[:-1] - first[:-1], tables) + np.arange(first[-1])] = sizes
-    start, used = start[:-1], tables.copy()
-
-    def seated() -> tuple[np.ndarray, np.ndarray]:
-        total = np.cumsum(seats)
-        return total, np.where(start > 0, total[start - 1], 0)
-
-    for _ in range(steps):
-        total, base = seated()
-        seats[np.searchsorted(total, base + (draw.random(len(n)) * n).astype(np.int64), side="right")] -= 1
-        total, base = seated()
-        left = np.arange(len(n))
-        while len(left):
-            others = n[left] - 1
-            new = draw.random(len(left)) * (fresh[left] + others) < fresh[left]
-            opens, stays = left[new], left[~new]
-            seats[start[opens] + used[opens]] = 1
-            used[opens] += 1
-            at = np.searchsorted(total, base[stays] + (draw.random(len(stays)) * (n[stays] - 1)).astype(np.int64), side="right")
-            taken = draw.random(len(stays)) * seats[at] < seats[at] - discount
-            seats[at[taken]] += 1
-            left = stays[~taken]
-    filled = seats > 0
-    return seats[filled], np.add.reduceat(filled.astype(np.int64), start)
-
-
-def seat(n: np.ndarray, fresh: np.ndarray, discount: float, sizes: np.ndarray | None, tables: np.ndarray | None, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One round over all dishes (n >= 1): (sizes, tables). Without a seating it starts near the expected number of tables: one large, the rest single."""
-    if sizes is None:
-        tables = np.clip(np.round(fresh * np.log1p(n / (fresh + 1))), 1, np.maximum(1, n // 2)).astype(np.int64)
-        sizes = np.ones(int(tables.sum()), dtype=np.int64)
-        sizes[np.cumsum(tables) - tables] = n - tables + 1
-    first = np.concatenate([[0], np.cumsum(tables)])
-    new_tables, parts, least = tables.copy(), [], 1
-    for most, steps in MOVES:
-        of = np.flatnonzero((n > least) & (n <= most))
-        own = np.repeat(first[of] - np.concatenate([[0], np.cumsum(tables[of])])[:-1], tables[of]) + np.arange(tables[of].sum())
-        s, new_tables[of] = moves(n[of], fresh[of], discount, sizes[own], tables[of], steps, draw)
-        parts.append((of, s))
-        least = most
-    parts.append((np.flatnonzero(n <= 1), n[n <= 1]))
-    out, first = np.zeros(int(new_tables.sum()), dtype=np.int64), np.concatenate([[0], np.cumsum(new_tables)])
-    for of, s in parts:
-        out[np.repeat(first[of] - np.concatenate([[0], np.cumsum(new_tables[of])])[:-1], new_tables[of]) + np.arange(len(s))] = s
-    return out, new_tables
+    tables = np.ones(len(n), dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    weights, log_fresh = stirling(discount, FEW), np.log(np.maximum(fresh, 1e-300))
+    at = np.searchsorted(n[order], np.arange(2, FEW + 2))
+    for k, low, high in zip(range(2, FEW + 1), at, at[1:], strict=False):
+        step = max(1, (1 << 20) // k)
+        for s in range(low, high, step):
+            of = order[s : min(s + step, high)]
+            x = log_fresh[of, None] * np.arange(1, k + 1) + weights[k, 1 : k + 1]
+            x = np.exp(x - x.max(axis=1, keepdims=True)).cumsum(axis=1)
+            tables[of] = 1 + (x < (draw.random(len(of)) * x[:, -1])[:, None]).sum(axis=1)
+    many = order[at[-1] :]
+    if len(many):
+        tables[many] = crowds(n[many], np.maximum(fresh[many], 1e-300), discount, draw)
+    return tables
 
 
 def by_kind(t: pa.Table) -> dict[str, list[dict]]:
@@ -352,7 +383,7 @@ def parent_round(asked: DataFrame, turn: int, discount: float, gamma: float, voc
         for _, keys, n in moved:
             np.add.at(customers, np.searchsorted(words, keys), n)
         n = customers.astype(np.int64)
-        _, tables = seat(n, np.full(len(n), discount * gamma / (vocabulary + 1)), discount, None, None, np.random.default_rng([SEED, turn, home, 1]))
+        tables = seat(n, np.full(len(n), discount * gamma / (vocabulary + 1)), discount, np.random.default_rng([SEED, turn, home, 1]))
         mass = (n - discount * tables).astype(np.float32)
         out.append(("mass", home, turn, None, None, pack(mass)))
         out += [("total", None, None, k, float(x.sum()), None) for k, x in enumerate((n, tables))]
@@ -370,7 +401,7 @@ def child_round(state: DataFrame, plan: Plan, turn: int, discount: float, scale:
         found = rows["state"]
         if not found:
             return rows_of([])
-        u, w, n, tables, kept, sizes, contexts, customers, singles = unpack(found[0]["blob"])
+        u, w, n, tables, kept, contexts, customers, singles = unpack(found[0]["blob"])
         u, contexts = np.cumsum(u), np.cumsum(contexts)
         words, home, at = plan.ordered(w)
         p = scale * np.concatenate([unpack(r["blob"])[0] for r in rows["reply"]]).astype(np.float64) + shift
@@ -379,10 +410,10 @@ def child_round(state: DataFrame, plan: Plan, turn: int, discount: float, scale:
         gamma = draw.gamma(STRENGTH / discount + singles + np.bincount(of, tables, minlength=len(contexts)))
         if len(gammas):
             gamma = np.where(frequent >= 0, gammas[frequent], gamma)
-        sizes, tables = seat(n, discount * gamma[of] * p[at], discount, sizes if turn else None, tables if turn else None, draw)
+        tables = seat(n, discount * gamma[of] * p[at], discount, draw)
         if turn >= ROUNDS - KEEP:
             kept = kept + tables
-        out = [("state", bucket, None, None, None, pack(gaps(u), w, n, tables, kept, sizes, gaps(contexts), customers, singles))]
+        out = [("state", bucket, None, None, None, pack(gaps(u), w, n, tables, kept, gaps(contexts), customers, singles))]
         moved = np.bincount(at, tables, minlength=len(words)).astype(np.int64)
         out += [("moved", h, bucket, None, None, pack(gaps(words[s]), moved[s])) for h, s in slices(home)]
         extra = np.bincount(of, tables - 1, minlength=len(contexts))  # beyond the one table a dish that all had at first
@@ -459,7 +490,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob in batch.column(0):
-                    u, w, n, _, kept, _, contexts, customers, singles = unpack(blob.as_py())
+                    u, w, n, _, kept, contexts, customers, singles = unpack(blob.as_py())
                     u, contexts = np.cumsum(u), np.cumsum(contexts)
                     of, frequent = np.searchsorted(contexts, u), plan.place(contexts)
                     more, below = STRENGTH + discount * (singles + np.bincount(of, kept, minlength=len(contexts)) / KEEP), STRENGTH + customers
