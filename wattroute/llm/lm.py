@@ -336,18 +336,22 @@ def seat(n: np.ndarray, fresh: np.ndarray, discount: float, draw: np.random.Gene
     Up to FEW customers the number of tables is drawn from its law (Stirling numbers), beyond that by crowds().
     """
     tables = np.ones(len(n), dtype=np.int64)
-    order = np.argsort(n, kind="stable")
+    two = n == 2  # most dishes
+    tables[two] += draw.random(int(two.sum())) * (fresh[two] + 1 - discount) < fresh[two]
+    rest = np.flatnonzero(n > 2)
+    groups = np.minimum(n[rest], FEW + 1).astype(np.uint8)
+    order = rest[np.argsort(groups, kind="stable")]
     weights, log_fresh = stirling(discount, FEW), np.log(np.maximum(fresh, 1e-300))
-    at = np.searchsorted(n[order], np.arange(2, FEW + 2))
-    for k, low, high in zip(range(2, FEW + 1), at, at[1:], strict=False):
+    at = np.searchsorted(n[order], np.arange(3, FEW + 2)) if len(order) else np.zeros(FEW - 1, dtype=np.int64)
+    for k, low, high in zip(range(3, FEW + 1), at, at[1:], strict=False):
         step = max(1, (1 << 20) // k)
         for s in range(low, high, step):
             of = order[s : min(s + step, high)]
             x = log_fresh[of, None] * np.arange(1, k + 1) + weights[k, 1 : k + 1]
             x = np.exp(x - x.max(axis=1, keepdims=True)).cumsum(axis=1)
             tables[of] = 1 + (x < (draw.random(len(of)) * x[:, -1])[:, None]).sum(axis=1)
-    many = order[at[-1] :]
-    if len(many):
+    many = n > FEW
+    if many.any():
         tables[many] = crowds(n[many], np.maximum(fresh[many], 1e-300), discount, draw)
     return tables
 
