@@ -103,13 +103,12 @@ def pages_of(pages: DataFrame) -> DataFrame:
     return named.withColumn("digest", F.unhex(F.sha1("payload")))
 
 
-def with_first(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: the smallest page_id of the same payload, null for that page itself and for payloads under ``least_bytes``."""
-    large = F.octet_length("payload") >= least_bytes
-    least = rows.where(large).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = rows.join(least, (F.col("digest") == F.col("same")) & large, "left")
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return found.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+def firsts(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, digest, refers_to of the pages that another one of a smaller page_id has the payload of, from slim rows."""
+    slim = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    least = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    other = slim.distinct().join(least, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return other.select("page_id", "digest", F.col("first").alias("refers_to"))
 
 
 def dictionary_for(pages: DataFrame) -> bytes:
@@ -139,9 +138,13 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                 led = True
                 yield pa.RecordBatch.from_arrays([pa.array([*lead, frame], pa.binary())], ["frame"])
 
-    rows = with_first(pages_of(pages), least_bytes)
+    rows = pages_of(pages)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    packed = rows.repartition(max(1, -(-total // FILE_BYTES)), F.xxhash64("page_id", "digest")).mapInArrow(pack, "frame binary")
+    files, keys = max(1, -(-total // FILE_BYTES)), ["none", "k", "digest"]
+    keyed = lambda df: df.withColumn("none", F.col("page_id").isNull()).withColumn("k", F.coalesce("page_id", F.lit(0)))
+    known = keyed(firsts(rows, least_bytes)).select(*keys, "refers_to").repartition(files, *keys)
+    met = keyed(rows).repartition(files, *keys).join(known.hint("shuffle_hash"), keys, "left")
+    packed = met.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(pack, "frame binary")
     packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN.decode()).text(path)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
