@@ -346,6 +346,28 @@ def test_secret_network_on_findings_from_elsewhere(net):
     assert np.mean([bool(x) for x in secrets.find(clean, net)]) <= 0.15
 
 
+def test_harmless_texts_from_elsewhere(net):
+    """Texts of kinds that keep their own words and forms, not drawn by the rules of training."""
+    r = np.random.default_rng(17)
+    one = lambda *of: str(r.choice(of))
+    num = lambda low, high: str(int(r.integers(low, high)))
+    names = "Allister Cartney Guire Dougall Intyre Pherson Arthur Gregor Millan Namara Farlane Bride Conaghy Taggart Queen Aulay".split()
+    parts = "Spider Lemon Kernel Socket Widget Planet Ledger Bridge Camera Folder Garden Ticket Marker Signal Oven Pocket Rocket Walnut".split()
+    image = lambda: one("iVBORw0KGgo", "/9j/4AAQSkZJRg", "R0lGODlhAQABAIAAA") + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 300)) + "=="
+    kinds = {
+        "surnames": lambda: f"{one('Ewan', 'Fiona', 'Rory', 'Isla')} {one('Mc', 'Mac')}{one(*names)} met {one('Mc', 'Mac')}{one(*names)} in {one('Oban', 'Leith', 'Ayr')}",
+        "classes": lambda: f"a {one(*parts)}{one(*parts)} holds one {one(*parts)}{one(*parts)}{one('Adapter', 'Provider', '')}",
+        "articles": lambda: f"Article {one('KX', 'TB', 'Q', 'ZRA')}{num(1000, 99999)}-{num(10, 9999)} is sold out",
+        "flights": lambda: f"flight {one('LH', 'KL', 'SK', 'BA')}{num(100, 9999)}/{one('A', 'B', 'C')}{num(10, 99)} boards at gate {one('A', 'D')}{num(1, 60)}",
+        "camel": lambda: f"call {one('push', 'drain', 'merge', 'close')}{one(*parts)}{one(*parts)} before you leave",
+        "snake": lambda: f"set {one(*parts).lower()}_{one(*parts).lower()}_{one('limit', 'ratio', 'depth')} to five",
+        "images": lambda: f'<img src="data:image/{one("png", "jpeg", "gif")};base64,{image()}">',
+        "paths": lambda: f"open {one('src', 'lib', 'docs')}/{one(*parts).lower()}/{one(*parts).lower()}.py first",
+    }
+    share = {k: np.mean([any(x[1] == 3 for x in found) for found in secrets.find([draw() for _ in range(150)], net)]) for k, draw in kinds.items()}
+    assert np.mean(list(share.values())) < 0.05 and max(share.values()) <= 0.15, share
+
+
 def test_secrets_reach_the_end_of_long_candidates(net):
     """A key behind 300 harmless characters of one token is seen, and so is what follows a base span."""
     text = "a" + "/lorem/ipsum" * 25 + "=" + "Zk2kQm4x9PPq01LmNoXyZ8872hhGGttRRee81kdkQ"

@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
 Base spans come from three patterns. Further candidates are tokens of 8 or more characters that mix letters with digits,
-cases or signs, whatever value follows a word such as "key", "pwd" or "Bearer", and the password of an address. A small network (byte
+cases or signs (but no parts of data URLs), whatever value follows a word such as "key", "pwd" or "Bearer", and the password of an address. A small network (byte
 embedding, one convolution, maximum over all positions and mean over the candidate's, one hidden layer; all in numpy) reads
 windows that together cover the whole candidate with BEFORE characters ahead of it and AFTER behind it; a further bit
 of each character tells whether it belongs to the candidate. A candidate's score is the largest of its windows'.
 
 It is trained on labelled findings that are drawn from rules (keys, tokens, passwords and digests in the places where they leak,
-against identifiers, paths, addresses, dates, numbers and words), a bounded number of them; the logits are calibrated on a
+against identifiers, surnames, article and flight numbers, paths, addresses, dates, numbers and words), a bounded number of them; the logits are calibrated on a
 validation set (Platt), and the threshold is the highest that keeps RECALL of its secrets.
 
 One pass, no shuffle; memory bounded by a batch of rows, the windows of one candidate and WINDOWS at once.
@@ -43,10 +43,11 @@ NAME = re.compile(r"""(?:key|pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(
 VALUE = re.compile(r"""[:=>]?\s{0,3}(?:[Bb]earer\s|[Bb]asic\s)?["'`]?([^\s"'`<>,;(){}\[\]]{8,})""")
 BEARER = re.compile(r"""\b(?:[Bb]earer|BEARER|[Bb]asic|BASIC)\s{1,3}["']?([^\s"'`<>,;(){}\[\]]{8,})""")
 ADDRESS = re.compile(r"://[^\s:/@]{1,64}:([^\s@/]{4,})@")
+INLINE = re.compile(r"data:[\w/+.-]{1,64};base64,[A-Za-z0-9+/=]+")  # a file within a text
 NAME_REACH = 48  # characters before a sign in which the naming word is looked for
 BEFORE, BODY, AFTER, WINDOWS = 32, 48, 16, 1024
 WIDTH = BEFORE + BODY + AFTER
-EMBED, SPAN, FILTERS, HIDDEN, EPOCHS, EXAMPLES, RECALL = 8, 5, 32, 16, 8, 6000, 0.96
+EMBED, SPAN, FILTERS, HIDDEN, EPOCHS, EXAMPLES, RECALL = 8, 5, 32, 16, 10, 9000, 0.96
 SCHEMA = "doc_id bigint, kinds array<string>, starts array<int>, ends array<int>"
 
 
@@ -74,6 +75,10 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         if NAME.search(text, max(0, m.start() - NAME_REACH), m.start()) and (v := VALUE.match(text, m.end())):
             found.append(v.span(1))
     found += [m.span(1) for m in BEARER.finditer(text)]
+    if ";base64," in text:  # files, not keys
+        files = [m.span() for m in INLINE.finditer(text)]
+        begins = [s for s, _ in files]
+        found = [(s, e) for s, e in found if not (k := bisect_right(begins, s)) or files[k - 1][1] < e]
     found = sorted(found + ([m.span(1) for m in ADDRESS.finditer(text)] if "://" in text else []))
     joined: list[tuple[int, int]] = []
     for s, e in found:
@@ -103,6 +108,11 @@ def windows(text: str, start: int, end: int) -> np.ndarray:
 HEADS = "ghp_ gho_ github_pat_ xoxb- xoxp- sk_live_ rk_live_ sk- pk- glpat- npm_ pypi- AIza ya29. SG. hf_ dop_v1_ shpat_ key- EAAC AKIA lin_api_ sq0atp-".split()
 LEADS = "key api-key access_key auth AUTH_TOKEN pwd pass PASSPHRASE passcode credential creds DB_PASS SECRET_KEY client_secret signing-key login jwt license".split()
 PLAIN = "id name file path version see at url host ref class order item page user module import function type label".split()
+TERMS = (
+    "user account order item page list view data file name type service client server request response handler manager factory builder controller model cache queue event stream buffer index table "
+    "column record session customer invoice payment product report status update delete create load save parse format value number total count date time start end first last new old get set find is has by "
+    "node tree graph path link word text line image color size width height north south river stone wood hill field green white black brown young king hart well ford land worth mark donald kenzie lean"
+).split()
 SOUNDS = ("b c ch d f g h j k l m n p qu r s st t th tr v w pl gr sch".split(), "a e i o u ai ea ou ie".split(), ["", "", "n", "r", "s", "l", "nd", "st", "t", "ng"])
 
 
@@ -158,7 +168,35 @@ class Draw:
     def human(self) -> str:
         return self.word(2, 3).title() + self.one(["", "_", "-", "@"]) + self.pick("0123456789", 2, 4) + self.one(["", "!", "!!", "#", "$"])
 
+    def common(self) -> tuple[str, str, str]:
+        """What ordinary texts are full of: surnames, names in code, article and flight numbers, tags."""
+        digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        term = lambda: self.one(TERMS) if self.r.random() < 0.7 else self.word(1, 2)
+        camel = lambda low, high: "".join(term().title() for _ in range(int(self.r.integers(low, high + 1))))
+        person = lambda: self.one(["Mc", "Mac", "Mc", "Mac", "Fitz", "Van", "De", "Di", "La"]) + self.word(1, 2).title() if self.r.random() < 0.5 else self.one(["Mc", "Mac"]) + term().title()
+        prose = lambda: self.one(["", f"{term()} ", f"{term()} {term()} ", f"{term().title()} ", "the ", "and ", "of ", "see "])
+        code = lambda: self.pick(upper, 1, 3) + self.one(["", "-", "."]) + self.pick(digits, 3, 6) + self.one(["", "-" + self.pick(digits, 1, 4), "-" + self.pick(upper, 1, 2), "/" + self.pick(digits, 1, 3), self.pick(upper, 1, 2)])
+        flight = lambda: self.pick(upper, 2) + self.pick(digits, 3, 4)
+        kind = int(self.r.integers(9))
+        if kind <= 1:
+            return f"{term().title()} ", person(), self.one(["", f" and {term().title()} {person()}", f" and {person()}", ", " + term(), "'s"])
+        if kind == 2:
+            return prose(), camel(2, 4), self.one(["", " class", f" and {camel(2, 3)}", "()", f" or the {camel(2, 4)} class", ".java"])
+        if kind == 3:
+            return prose(), term() + camel(1, 4), self.one(["", "()", f" and {term()}{camel(1, 3)}", "(x)", " method"])
+        if kind == 4:
+            return prose(), "_".join(term() for _ in range(int(self.r.integers(2, 5)))) + self.one(["", "_" + self.pick(digits, 1, 3)]), self.one(["", " table", "()", ","])
+        if kind == 5:
+            return self.one(["article ", "article number ", "Art. ", "no. ", "part ", "item ", "SKU ", "ref. ", "model ", "order ", "Artikel "]), code() + self.one(["", self.pick(digits, 2, 4)]), self.one(["", " in stock", f" ({term()})"])
+        if kind == 6:
+            return self.one(["flight ", "Flight ", "on ", "train ", "via "]), flight() + self.one(["/", "-", "_", ".", "+"]) + self.one([flight(), self.pick(upper, 1) + self.pick(digits, 1, 3), self.pick(upper, 3)]), self.one(["", f" at gate {self.pick(upper, 1)}{self.pick(digits, 1, 2)}", " on time"])
+        if kind == 7:
+            return self.one(["#", "@", "# ", "tagged #"]), camel(2, 4) + self.one(["", "20" + self.pick(digits, 2)]), ""
+        return prose(), self.one([lambda: self.pick(digits, 1, 4) + "x" + self.pick(digits, 2, 4) + self.one(["px", "mm", "cm"]), lambda: "/".join(term().title() for _ in range(int(self.r.integers(2, 4)))), lambda: term().title() + "-" + term().title() + self.pick(digits, 0, 2)])(), ""
+
     def harmless(self) -> tuple[str, str, str]:
+        if self.r.random() < 0.45:
+            return self.common()
         digits, word = "0123456789", self.word
         named = self.one(PLAIN) + self.one([": ", "=", " = ", ":", " "])
         free = self.one(["", f"{word()} ", f"{word()}, ", "(", '"', f"{word()}\n", "https://", "http://www."])
