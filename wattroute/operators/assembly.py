@@ -39,7 +39,7 @@ def drive(paths: DataFrame, edges: DataFrame, energy: Callable[[Column, Column],
 def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst, ord, a, b: the edges of the quickest path of every distinct pair that is joined; none for a pair of one node."""
     wanted = durable(pairs.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    costs = durable(routing.costs_to(edges, wanted.select(F.col("src").alias("source"), F.col("dst").alias("node"))))
+    costs = durable(routing.costs_to(edges, wanted.select(F.col("src").alias("source"), F.col("dst").alias("node")), one_part=True))
     walked = durable(routing.routes(edges, costs, wanted.select(F.col("src").alias("source"), F.col("dst").alias("target"))))
     w = Window.partitionBy("source", "target").orderBy(F.desc("back"))
     steps = walked.select(F.col("source").alias("src"), F.col("target").alias("dst"), (F.row_number().over(w) - 1).alias("ord"), F.col("node").alias("a"), F.lead("node").over(w).alias("b"))

@@ -63,13 +63,16 @@ def _relax(weights: DataFrame, labels: DataFrame, limit_s: float | None, wanted:
     return labels.drop("fresh")
 
 
-def costs_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def costs_to(edges: DataFrame, pairs: DataFrame, one_part: bool = False) -> DataFrame:
     """source, node, cost_s: least costs from each source to its wanted nodes (source, node), where a way leads there, and to all nodes on the way.
 
     Pairs that no way joins are found first, from the strong components and what leads from one to another; the search then follows a
-    source only up to the farthest of its wanted nodes, once all of them have been reached.
+    source only up to the farthest of its wanted nodes, once all of them have been reached. With ``one_part`` (a network cut to its
+    largest strong component, as largest_component() does) that is left out: a source of an unreachable node then looks everywhere.
     """
     wanted = durable(pairs.select("source", "node").distinct())
+    if one_part:
+        return _between(edges, wanted)
     live = edges.where("speed_kmh > 0")
     parts = durable(strong_components(live))
     of = lambda c, n: parts.select(F.col("node").alias(c), F.col("component").alias(n))
@@ -82,8 +85,12 @@ def costs_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         front = durable(ahead.join(seen, ["a", "b"], "left_anti"))
         seen = durable(seen.unionByName(front))
     open_ = durable(placed.join(seen, ["a", "b"], "left_semi").select("source", "node").unionByName(placed.where("source = node").select("source", "node")).distinct())
-    at = open_.select("source", F.col("source").alias("node")).distinct()
-    return _relax(_near(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, open_)
+    return _between(edges, open_)
+
+
+def _between(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    at = wanted.select("source", F.col("source").alias("node")).distinct()
+    return _relax(_near(_weights(edges)), durable(at.withColumn("cost_s", F.lit(0.0)).withColumn("fresh", F.lit(True))), None, wanted)
 
 
 def many_to_many(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -89,4 +89,3 @@ ORACLE = {
         least(greatest(p_size * 8.0::double, 120), 260) refit from part""",
     "trip_snapshots": _with("v_trip") + """ select trip_id, coalesce(start_display_soc_pct, end_display_soc_pct, start_charge_kwh, end_charge_kwh) is not null kept, round(start_display_soc_pct, 3) start_pct, round(end_charge_kwh, 3) end_kwh from v_trip""",
 }
-ORACLE["courses"] = ORACLE["courses"].replace("with ", "with recursive ", 1)
