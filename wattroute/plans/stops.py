@@ -63,12 +63,12 @@ def road_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def journeys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Points of a journey of each nation, over one waypoint, and the chargers on the same scale."""
+    """Points of a journey of each nation to the north (the network has few ways back), over one waypoint, and the chargers on the same scale."""
     k, nodes = F.col("n_nationkey"), F.broadcast(view(spark, d, "v_node").agg(F.max("node_id").alias("most")))
     n = table(spark, d, "nation").join(nodes)  # one row: the number of nodes
     column = (k * 3 + F.col("place")) % F.greatest(F.floor(F.col("most") / 40), F.lit(1))
     at = n.select(k.cast("bigint").alias("request"), "most", "n_nationkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("place"))
-    points = at.select("request", "place", (F.lit(48.0) + ((k + F.col("place") * 19) % 40) * 0.05 + 0.004).alias("lat"), (F.lit(5.0) + column * 0.07 + 0.003).alias("lon"), F.when(k % 2 == 0, 0.5).alias("override_soc"))
+    points = at.select("request", "place", (F.lit(48.0) + (k % 13 + F.col("place") * 13) * 0.05 + 0.004).alias("lat"), (F.lit(5.0) + column * 0.07 + 0.003).alias("lon"), F.when(k % 2 == 0, 0.5).alias("override_soc"))
     c = view(spark, d, "v_charger")
     sites = c.select(F.col("id").alias("site"), (F.lit(48.0) + (F.col("lat") - 48.0) * 10).alias("lat"), (F.lit(5.0) + (F.col("lon") - 5.0) * 2).alias("lon"), F.col("max_power_kw").alias("power_kw"))
     return points, sites.where("power_kw >= 50")
