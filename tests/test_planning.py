@@ -119,3 +119,15 @@ def test_matrix_has_no_limit(spark):
         assert r.cost_s is None if want is None else r.cost_s == pytest.approx(want, abs=1e-5)
     far = routing.many_to_many(edges, spark.createDataFrame([(1, 199), (199, 1), (1, 100000)], "source int, node int")).collect()
     assert {(r.source, r.node): r.cost_s and round(r.cost_s, 4) for r in far} == {(1, 199): round(costs[1][199], 4), (199, 1): costs[199].get(1) and round(costs[199][1], 4), (1, 100000): None}
+
+
+def test_reach_sums_in_the_order_of_the_way(spark):
+    """These four edges take 180 s, but 180.00000000000003 s when summed one after another; in pairs their sum is 180.0, within the limit."""
+    ways = [(742, 48), (786, 120), (1025, 60), (1309, 120)]
+    edges = spark.createDataFrame([(i, i + 1, float(m), float(v)) for i, (m, v) in enumerate(ways)], "src int, dst int, length_m double, speed_kmh double")
+    got = {r.node: r.cost_s for r in routing.travel_costs(edges, spark.createDataFrame([(0,)], "node_id int"), planning.LIMIT_S).collect()}
+    want, c = {0: 0.0}, 0.0
+    for i, (m, v) in enumerate(ways[:3]):
+        c += m / v * 3.6
+        want[i + 1] = c
+    assert got == want
