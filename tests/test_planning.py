@@ -131,3 +131,12 @@ def test_reach_sums_in_the_order_of_the_way(spark):
         c += m / v * 3.6
         want[i + 1] = c
     assert got == want
+
+
+def test_matrix_labels_end_at_the_farthest_wanted_node(spark):
+    """A source whose wanted nodes are all known gets no labels beyond the farthest of them, however many edges lead on."""
+    edges = spark.createDataFrame([(i, i + 1, 1000.0, 36.0) for i in range(60)] + [(0, 100 + i, 9000.0, 36.0) for i in range(40)], "src int, dst int, length_m double, speed_kmh double")
+    got = routing.costs_to(edges, spark.createDataFrame([(0, 1), (0, 0)], "source int, node int")).collect()
+    assert {r.node: r.cost_s for r in got if r.node < 3} == {0: 0.0, 1: 100.0}
+    third = routing.costs_to(edges, spark.createDataFrame([(0, 3)], "source int, node int")).collect()
+    assert {r.node for r in third if r.node < 100} == {0, 1, 2, 3}
