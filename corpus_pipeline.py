@@ -18,8 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8 or more)."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: by SimHash, as op2_simhash links them, and by five-word shingles of similarity 0.8 or more."""
+    return simhash.keep_one(docs, by_fingerprint=True)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_near_copies_keep_a_column_h(spark):
     trees = quality.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
     scored = docs.withColumnRenamed("h", "score").withColumn("scored_text", F.lit(1))
     assert quality.keep_good(scored, trees).columns == scored.columns
+
+
+def test_near_copies_follow_fingerprints(spark, tmp_path):
+    """A line in turn with new words: too many new five-word shingles for a similarity of 0.8, but fingerprints of at most 3 different bits."""
+    line = "one long line that stands in both of these texts again and again "
+    docs = spark.createDataFrame([(2, line * 300 + " ".join(f"a{i}" for i in range(40))), (1, line * 300 + " ".join(f"b{i}" for i in range(40))), (3, WORDS), (4, " "), (5, None)], "doc_id bigint, text string")
+    bits = {r.doc_id: r.bits for r in simhash.fingerprints(docs).collect()}
+    assert ((bits[1] ^ bits[2]) & (2**64 - 1)).bit_count() <= 3
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 5]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 3, 4, 5]

@@ -244,20 +244,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), node (of its set of shingles; null without words), mark (a byte of each minimum), bands for every row."""
+    """doc_id, h (of the text), bits (its fingerprint), node (of its set of shingles; null without words), mark (a byte of each minimum), bands for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingle_set(t.as_py()) for t in batch.column(2))
-            node, mark, bands = [], [], []
-            for x in sets:
+            node, mark, bands, bits = [], [], [], []
+            for text in batch.column(2):
+                x = shingle_set(text.as_py())
                 m = minima(x)
+                bits.append(fingerprint(text.as_py()))
                 node.append(int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)) if len(x) else None)
                 mark.append(m.astype(np.uint8).tobytes())
                 bands.append([xxhash.xxh3_64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)] if len(x) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(mark, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "node", "mark", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(bits, dtype=np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(mark, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "bits", "node", "mark", "bands"])
 
-    return hashed(docs).mapInArrow(run, "doc_id bigint, h bigint, node bigint, mark binary, bands array<bigint>")
+    return hashed(docs).mapInArrow(run, "doc_id bigint, h bigint, bits bigint, node bigint, mark binary, bands array<bigint>")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -326,10 +327,19 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionByName(second.groupBy("component", "i", "j").applyInPandas(similar, "a bigint, b bigint"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the row of smallest doc_id stays.
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``prints`` (node, bits) that join all whose fingerprints are linked or equal."""
+    same = materialise(prints.groupBy("bits").agg(F.min("node").alias("b"), F.max("node").alias("most")), "fingerprints")
+    equal = prints.join(same.where("b <> most").select("bits", "b"), "bits").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return equal.unionByName(link(same.select(F.col("b").alias("node"), "bits")))
 
-    Texts that share a band of minima are candidates; each link is verified by the similarity of the sets of shingles.
+
+def keep_one(docs: DataFrame, by_fingerprint: bool = False) -> DataFrame:
+    """Of each group of near-duplicates the row of smallest doc_id stays.
+
+    Texts are linked where their sets of five-word shingles are similar by SIMILAR or more: those that share a band of minima are candidates,
+    and each link is verified. With ``by_fingerprint`` they are also linked as op2_simhash links them (fingerprints of three-word shingles at
+    most 3 bits apart, by anchor covering); groups then follow both kinds of links, as each misses a part of the other's.
     Texts without words have nothing to compare and stay. Of repeated rows one stays. Rows whose doc_id is null stay.
     """
     named = docs.where("doc_id is not null")
@@ -337,7 +347,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = prints.where("node is not null")
     owner = whole.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("own"))
     distinct = materialise(owner.select("node", "own.doc_id", "own.h"), "distinct")
-    groups = components(similar_links(whole.join(distinct, ["node", "doc_id", "h"], "left_semi"), named))
+    links = similar_links(whole.join(distinct, ["node", "doc_id", "h"], "left_semi"), named)
+    groups = components(fingerprint_links(whole).unionByName(links) if by_fingerprint else links)
     least = distinct.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("doc_id", "h")).alias("own"))
     keep = least.select("own.doc_id", "own.h").unionByName(prints.where("node is null").select("doc_id", "h")).distinct()
     kept = packed(named).select("row", "doc_id", F.xxhash64("text").alias("h")).join(keep, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
