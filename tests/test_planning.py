@@ -140,3 +140,23 @@ def test_matrix_labels_end_at_the_farthest_wanted_node(spark):
     assert {r.node: r.cost_s for r in got if r.node < 3} == {0: 0.0, 1: 100.0}
     third = routing.costs_to(edges, spark.createDataFrame([(0, 3)], "source int, node int")).collect()
     assert {r.node for r in third if r.node < 100} == {0, 1, 2, 3}
+
+
+def test_nearest_nodes_of_crowded_places(spark):
+    """Dense, sparse and repeated places against all pairs; and a point meets few of many nodes (before: all 6,400 of its nine cells)."""
+    dense = [(i, 48 + i % 80 * 0.003, 5 + i // 80 * 0.003) for i in range(6400)] + [(9000 + i, 48.0, 5.0) for i in range(3)] + [(9100, 49.05, 5.0)]
+    spots = [(48 + i * 37 % 200 * 0.001, 5 + i * 53 % 230 * 0.001) for i in range(40)] + [(49.14, 5.09), (49.0, 5.0), (60.0, 5.0), (48.0015, 5.0015)]
+    rows = [(k * 1000 + i, *s) for k in range(3) for i, s in enumerate(spots)] + [(77, None, 5.0)]
+    nodes = spark.createDataFrame(dense, "node_id long, lat double, lon double")
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    cell = lambda x: math.floor(x / 0.1)
+
+    def brute(lat, lon):
+        near = [(round((a - lat) ** 2 + ((b - lon) * math.cos(math.radians(lat))) ** 2, 15), i) for i, a, b in dense if abs(cell(a) - cell(lat)) <= 1 and abs(cell(b) - cell(lon)) <= 1]
+        return min(near)[1] if near else None
+
+    want = {s: brute(*s) for s in spots}
+    got = dict(map(tuple, spatial.nearest_node(points, nodes).collect()))
+    assert got == {i: None if a is None else want[a, b] for i, a, b in rows}
+    first = spatial._nearest(points.where("lat is not null").select("lat", "lon").distinct(), spatial._distinct_nodes(nodes), 0.1)
+    assert first.count() == len([w for w in want.values() if w is not None])
