@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattroute.functions import physics
-from wattroute.operators import assembly
+from wattroute.operators import assembly, routing
 
 STEP = 0.05  # degrees between the nodes of the road
 
@@ -83,3 +83,12 @@ def test_requests_without_a_graph(spark):
     assert {r.request: r.problem for r in failures.collect()} == {1: "snap_failed", 2: "no_route"}
     assert [(r.request, r.kind) for r in graph.orderBy("ord").collect()] == [(3, "origin"), (3, "dest")]
     assert [(r.request, r.src, r.dst) for r in legs.collect()] == [(3, 0, 1)]
+
+
+def test_unreachable_pairs_are_not_searched(spark):
+    """A pair that no way joins costs nothing (before, its source was followed through the whole network)."""
+    edges = spark.createDataFrame([(i, i + 1, 1000.0, 36.0) for i in range(10)], "src int, dst int, length_m double, speed_kmh double")
+    reach = routing.reach_of_parts(edges)
+    assert routing.costs_to(edges, spark.createDataFrame([(5, 1)], "source int, node int"), reach).count() == 0
+    got = assembly.pair_paths(edges, spark.createDataFrame([(5, 1), (2, 4)], "src int, dst int"), reach).collect()
+    assert sorted((r.src, r.dst, r.ord, r.a, r.b) for r in got) == [(2, 4, 0, 2, 3), (2, 4, 1, 3, 4)]
