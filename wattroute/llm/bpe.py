@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -28,6 +29,7 @@ from wattroute.llm.common import table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 100_000  # pieces, and words, in each of two generations
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch  # letters that every version of Unicode takes alike, and composed already
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -50,7 +52,12 @@ class Bpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.left, self.right = [self.vocab[a] for a, _ in pairs], [self.vocab[b] for _, b in pairs]
         self.joined = [self.vocab[a + b] for a, b in pairs]
-        self.ranks = {a << 32 | b: rank for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
+        none: dict[int, int] = {}
+        self.ranks = [none] * (max(self.vocab.values()) + 1)  # of the pairs that a symbol begins, by the symbol after it
+        for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
+            if self.ranks[a] is none:
+                self.ranks[a] = {}
+            self.ranks[a][b] = rank
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.inner = [self.vocab[c] for c in byte_letters()]
@@ -62,9 +69,11 @@ class Bpe:
         self.path, self.lib, self.byte = path, None, {c: b for b, c in enumerate(byte_letters())}
 
     def split(self, piece: str) -> list[bytes]:
-        """The words of a piece in UTF-8. ASCII ones by the file's pattern; for others the library's own normaliser and
-        splitter are asked, so that all follow one version of Unicode."""
-        if piece.isascii():
+        """The words of a piece in UTF-8. ASCII ones and those of Latin letters by the file's pattern; for others the library's
+        own normaliser and splitter are asked, so that all follow one version of Unicode."""
+        if piece.isascii() or LATIN(piece):
+            if piece.isalpha():
+                return [piece.lower().encode()]
             return [w.encode() for w in self.word.findall(piece.lower())]
         if self.lib is None:
             from tokenizers import Tokenizer
@@ -78,38 +87,48 @@ class Bpe:
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one word by merges in order of rank, leftmost first.
 
-        Queue entries are rank << 32 | position; an entry is stale if the symbols there are no longer its pair.
+        Queue entries are rank << bits | position; an entry is stale if the symbols there are no longer its pair.
         """
-        symbols = [self.inner[b] for b in raw]
+        symbols = [*map(self.inner.__getitem__, raw)]
         symbols[-1] = self.last[raw[-1]]
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank_of, left, right, joined = self.ranks.get, self.left, self.right, self.joined
-        queue = [rank << 32 | i for i in range(n - 1) if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
+        if n == 1:
+            return symbols
+        ranks, left, right, joined = self.ranks, self.left, self.right, self.joined
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [rank << bits | i for i in range(n - 1) if (rank := ranks[symbols[i]].get(symbols[i + 1])) is not None]
         heapify(queue)
+        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            rank, i = entry >> bits, entry & place
             j = after[i]
             if symbols[i] != left[rank] or j < 0 or symbols[j] != right[rank]:
                 continue  # stale
-            symbols[i], symbols[j] = joined[rank], -1
+            symbols[i] = new = joined[rank]
+            symbols[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (rank := rank_of(symbols[i] << 32 | symbols[k])) is not None:
-                    heappush(queue, rank << 32 | i)
-            if (k := before[i]) >= 0 and (rank := rank_of(symbols[k] << 32 | symbols[i])) is not None:
-                heappush(queue, rank << 32 | k)
+                if (rank := ranks[new].get(symbols[k])) is not None:
+                    heappush(queue, rank << bits | i)
+            if (k := before[i]) >= 0 and (rank := ranks[symbols[k]].get(new)) is not None:
+                heappush(queue, rank << bits | k)
         return [s for s in symbols if s >= 0]
 
+    def told(self, word: bytes) -> tuple[bytes, str]:
+        """(ids in decimal, decoded text) of one word."""
+        ids = self.merge(word)
+        return self.words.put(word, (" ".join(map(str, ids)).encode(), self.decode(ids)))
+
     def piece(self, piece: str) -> tuple[bytes, str]:
         """(ids in decimal, decoded text) of a piece between single spaces; both empty if it holds no token."""
-        ids: list[int] = []
-        for word in self.split(piece):
-            got = self.words.get(word)
-            ids += got if got is not None else self.words.put(word, self.merge(word))
-        return self.pieces.put(piece, (b" ".join([b"%d" % i for i in ids]), self.decode(ids)))
+        get = self.words.get
+        words = [get(word) or self.told(word) for word in self.split(piece)]
+        if len(words) == 1:
+            return self.pieces.put(piece, words[0])
+        return self.pieces.put(piece, (b" ".join([ids for ids, _ in words]), " ".join([text for _, text in words])))
 
     def spans(self, text: str) -> list[tuple[bytes, str]]:
         """What each piece of a text gives, in order, pieces without tokens left out."""
