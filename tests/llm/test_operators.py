@@ -181,6 +181,20 @@ def test_cache_is_bounded_in_entries_and_bytes():
     assert sum(map(len, [*cache.young, *cache.old])) <= 2 * (100 * cache.ROOM + 512) and all(len(k) <= 512 for k in cache.young)
 
 
+def test_words_are_not_encoded_again_for_their_marks(monkeypatch):
+    """The library is asked for a word and for marks once each, and the ids are those of the whole text."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary(tokenfile.TOKENIZER)
+    lib, own, asked = Tokenizer.from_file(path), tokenfile.Encoder(path), []
+    together = own.together
+    monkeypatch.setattr(own, "together", lambda pieces: asked.extend(pieces) or together(pieces))
+    texts = ["x zwörfel", "x zwörfel,", "x zwörfel!?) zwörfel, zwörfel.", "a zwörfel's zwörfel,'s zwörfel_ zwörfel1, zwörfel,\n b`` c~\u0301 d\u00a0, É;; ,; 9. e.é f,1 g-h"]
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, own.type).tolist() == [*lib.encode(text, add_special_tokens=False).ids, tokenfile.END_ID], text
+    assert " zwörfel" in asked and not {" zwörfel,", " zwörfel!?)", " zwörfel.", " zwörfel_"} & {*asked} and len(asked) == len({*asked})
+
+
 def test_token_files_split_a_repeated_id(spark, tmp_path, monkeypatch):
     """Files in order of doc_id; one id with half of the rows, and rows without id, lie in several shards."""
     monkeypatch.setattr(tokenfile, "SHARD_DOCS", 10)

@@ -49,6 +49,7 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 CACHED = 400_000  # pieces in each of two generations
 ODD = re.compile(r" (?=\s|\Z)")  # a space that does not start a piece
 CUT = re.compile(r" (?=\S)")
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch  # a word and the marks after it, apostrophes not among them
 BLOCK = "shard int, block int, start bigint, first_id bigint, last_id bigint, dict_hash string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
 
 
@@ -68,6 +69,7 @@ class Encoder:
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.first, self.cache = Cache(CACHED // 20), Cache(CACHED)
+        self.parts = [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(" a,;")] == ["Ġa", ",;"]  # no token crosses from a word to its marks
         self.length = None  # bytes of each id's string, where every byte is a letter of the vocabulary and nothing is normalised
         if self.lib.normalizer is None and set(byte_letters()) <= self.lib.get_vocab().keys():
             self.length = np.zeros(self.lib.get_vocab_size(), dtype=np.int64)
@@ -75,19 +77,26 @@ class Encoder:
                 self.length[i] = len(string)
 
     def known(self, cache: Cache, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of each piece (with ``lead`` before it); what the cache lacks goes to the library in one call."""
+        """Ids of each piece (with ``lead`` before it); what the cache lacks goes to the library in one call, words without the marks after them."""
         out = list(map(cache.young.get, pieces))
         if None in out:
-            lacks: dict[str, list[int]] = {}
-            for k, got in enumerate(out):
-                if got is None and (got := cache.get(pieces[k])) is not None:
+            lacks: dict[str, list[tuple[int, bytes]]] = {}
+            for k in [k for k, got in enumerate(out) if got is None]:
+                p, marks = pieces[k], b""
+                if (got := cache.get(p)) is None and lead and self.parts and (m := MARKED(p)):
+                    word, tail = m.groups()
+                    marks = self.first.young.get(tail) or self.known(self.first, [tail], "")[0]
+                    if (got := cache.get(word)) is not None:
+                        got = cache.put(p, got + marks)
+                    p = word
+                if got is not None:
                     out[k] = got
-                elif got is None:
-                    lacks.setdefault(pieces[k], []).append(k)
-            for (p, at), ids in zip(lacks.items(), self.together([lead + p for p in lacks]), strict=True):
+                else:
+                    lacks.setdefault(p, []).append((k, marks))
+            for (p, at), ids in zip(lacks.items(), self.together([lead + p for p in lacks]) if lacks else [], strict=True):
                 got = cache.put(p, ids)
-                for k in at:
-                    out[k] = got
+                for k, marks in at:
+                    out[k] = got + marks if marks else got
         return out
 
     def together(self, pieces: list[str]) -> list[bytes]:
