@@ -1,10 +1,15 @@
 """The pipeline from end to end, over tables with odd rows and clashing columns."""
 
+import tracemalloc
+from collections import deque
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wattroute.llm import bpe, quality, simhash
+from wattroute.llm import bpe, quality, secrets, simhash
 
 DATA = "/root/testdata/sf0.001"
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -73,3 +78,20 @@ def test_near_copies_follow_fingerprints(spark, tmp_path):
     assert ((bits[1] ^ bits[2]) & (2**64 - 1)).bit_count() <= 3
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()) == [1, 3, 4, 5]
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_texts_of_a_batch_are_strings_a_few_hundred_at_a_time(spark, monkeypatch):
+    """Spark sends 10,000 texts at once; a worker never holds them all as Python strings, nor what a stage makes of them."""
+    docs, runs = spark.createDataFrame([], "doc_id bigint, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: runs.append(f) or self)
+    trees = quality.Trees(0.0, np.zeros((0, 15), dtype=np.int64), np.zeros((0, 15)), np.zeros((0, 16)))
+    stages = [lambda: quality.keep_good(docs, trees), lambda: secrets.redact(docs, secrets.Network(np.random.default_rng(0))), lambda: bpe.digests(docs, bpe.vocabulary())]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([f"{i} " + WORDS * 20 for i in range(10_000)])], ["c0", "c1"])
+    for stage in stages:
+        stage()
+        deque(runs[-1](iter([batch.slice(0, 10)])), 0)  # what a worker loads once
+        tracemalloc.start()
+        rows = sum(map(len, runs[-1](iter([batch, batch.slice(0, 0), batch.slice(9_999)]))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 10_001 and peak < batch.nbytes / 2

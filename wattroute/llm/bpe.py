@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from wattroute.llm.cache import Cache
-from wattroute.llm.common import table, texts
+from wattroute.llm.common import slices, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 100_000  # pieces, and words, in each of two generations
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -176,7 +176,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             counts, hashes, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 spans = bpe.spans(text)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from wattroute.llm.common import crc_mod, packed, table, texts
+from wattroute.llm.common import crc_mod, slices, table, texts
 
 SAMPLE, BINS, DEPTH, TREES, RATE, PATIENCE, MIN_LEAF = 20_000, 64, 4, 150, 0.1, 15, 20
 ACCEPT = 0.3
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = char_classes()
-        for batch in batches:
+        for batch in slices(batches):
             x = features(batch.column(1).to_pylist(), classes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["doc_id", "x", "quality"])
 
@@ -149,9 +149,8 @@ def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = char_classes()
-        for batch in batches:
-            x = features(batch.column(1).to_pylist(), classes)
-            got = trees.score(x) if len(x) else np.zeros(0)
+        for batch in slices(batches):
+            got = trees.score(features(batch.column(1).to_pylist(), classes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), *batch.columns[2:]], names)
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("scored_text")
@@ -164,8 +163,18 @@ def fold(doc_id="doc_id"):
 
 
 def keep_good(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows of score ACCEPT or more; all their columns, whatever their names."""
-    return score(packed(docs), trees, ("row",)).where(F.col("score") >= ACCEPT).select("row.*")
+    """The rows of score ACCEPT or more; all their columns, whatever their names. Each text is sent once, and only rows that stay come back."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = char_classes()
+        for batch in slices(batches):
+            x = features([t or "" for t in batch.column(at).to_pylist()], classes)
+            yield batch.filter(pa.array(trees.score(x) >= ACCEPT))
+
+    at, numbers = names.index("text"), [f"c{i}" for i in range(len(names))]  # names with dots can't be passed on
+    plain = docs.toDF(*numbers)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattroute.llm.common import table, texts
+from wattroute.llm.common import slices, table, texts
 
 # The base patterns.
 BASE = {
@@ -352,7 +352,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, kinds, starts, ends (code points, end exclusive) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = find(batch.column(1).to_pylist(), net)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([[KINDS[k] for _, k, _ in x] for x in found], pa.list_(pa.string())), *(pa.array([[s[j] for s in x] for x in found], pa.list_(pa.int32())) for j in (0, 2))],
@@ -367,7 +367,7 @@ def redact(docs: DataFrame, net: Network, mark: str = "[secret]") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(names.index("text")).to_pylist()
             done = []
             for text, spans in zip(rows, find([t or "" for t in rows], net), strict=True):

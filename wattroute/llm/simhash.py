@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattroute.llm.common import components, materialise, packed, table, texts
+from wattroute.llm.common import components, materialise, packed, slices, table, texts
 
 N, K, RADIUS, REACH = 23, 12, 3, 1
 GOLAY = 0xC75  # fixed value: generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and bits (bigint, the bits of the unsigned fingerprint) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "bits"])
 
@@ -247,7 +247,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     """doc_id, h (of the text), bits (its fingerprint), node (of its set of shingles; null without words), mark (a byte of each minimum), bands for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             node, mark, bands, bits = [], [], [], []
             for text in batch.column(2):
                 x = shingle_set(text.as_py())
