@@ -160,3 +160,71 @@ def test_nearest_nodes_of_crowded_places(spark):
     assert got == {i: None if a is None else want[a, b] for i, a, b in rows}
     first = spatial._nearest(points.where("lat is not null").select("lat", "lon").distinct(), spatial._distinct_nodes(nodes), 0.1)
     assert first.count() == len([w for w in want.values() if w is not None])
+
+
+def grid(side, name=lambda i: i):
+    """Edges of a square grid, most of them both ways, with lengths in no order; and a plain search in them."""
+    edges = [(a, b, 500.0 + (a * 131 + b * 17) % 1500, 30.0 + (a * 7 + b) % 90) for a in range(side * side) for b in (a + 1, a - 1, a + side, a - side) if 0 <= b < side * side and abs(a % side - b % side) <= 1 and (a + b) % 11]
+    edges = [(name(a), name(b), m, v) for a, b, m, v in edges]
+    near = {}
+    for a, b, m, v in edges:
+        near.setdefault(a, []).append((b, m / v * 3.6))
+
+    def search(source):
+        done, queue = {}, [(0.0, source)]
+        while queue:
+            c, n = heapq.heappop(queue)
+            if n not in done:
+                done[n] = c
+                for m, w in near.get(n, []):
+                    heapq.heappush(queue, (c + w, m))
+        return done
+
+    return edges, search
+
+
+def test_matrix_writes_few_rows(spark):
+    """Every round wrote all labels anew: 357 rows a pair here before."""
+    import pyarrow.parquet as pq
+    from wattroute.operators.rounds import matching, stored
+
+    stored(spark.range(1))
+    made = lambda: {f for f in matching(spark, f"{spark.sparkContext.getCheckpointDir()}/*/part-*")}
+    edges, search = grid(20)
+    pairs = [(a, a + k) for a in range(400) for k in (0, 1, 2, 20, 21, 42) if a + k < 400]
+    before = made()
+    got = {(r.source, r.node): r.cost_s for r in routing.many_to_many(spark.createDataFrame(edges, "src int, dst int, length_m double, speed_kmh double"), spark.createDataFrame(pairs, "source int, node int")).collect()}
+    costs = {a: search(a) for a, _ in pairs}
+    assert got == {(a, b): costs[a].get(b) for a, b in pairs}
+    rows = sum(pq.read_metadata(f.removeprefix("file:")).num_rows for f in made() - before)
+    assert rows < 15 * len(pairs)
+
+
+@pytest.mark.parametrize("ids, limits, all_end", [("ordered", {}, True), ("ordered", {"RANGE": 16, "HOPS": (2, 2)}, False), ("ordered", {"RANGE": 16, "WAYS": 1}, False), ("drawn", {"HOPS": (12, 12)}, True), ("ordered", {"LABELS": 1, "HOPS": (9,)}, False), ("texts", {"HOPS": (4, 3)}, False)], ids=str)
+def test_near_pieces_of_all_kinds(spark, monkeypatch, ids, limits, all_end):
+    """However pieces are cut, ended searches are those of a plain search with all nodes of best ways, and every other pair comes back."""
+    from wattroute.operators import near
+    from wattroute.operators.rounds import durable
+
+    for k, v in limits.items():
+        monkeypatch.setattr(near, k, v)
+    name = {"ordered": lambda i: i, "drawn": lambda i: i * 7919 % 1_000_003 - 500_000, "texts": lambda i: f"n{i}"}[ids]
+    kind = "string" if ids == "texts" else "bigint"
+    edges, search = grid(12, name)
+    pairs = sorted({(name(a), name(b)) for a in range(0, 144, 3) for b in (a, a + 1, a + 13, (a * 5 + 70) % 144) if b < 144})
+    weights = durable(routing._weights(spark.createDataFrame(edges, f"src {kind}, dst {kind}, length_m double, speed_kmh double")))
+    found, left = near.search(weights, durable(spark.createDataFrame(pairs, f"source {kind}, node {kind}")))
+    found, left = {(r.source, r.node): r.cost_s for r in found.collect()}, sorted((r.source, r.node) for r in left.collect())
+    costs = {a: search(a) for a, _ in pairs}
+    assert all(costs[a][n] == c for (a, n), c in found.items())
+    ended = {a for a, _ in pairs} - {a for a, _ in left}
+    assert left == [p for p in pairs if p[0] not in ended] and {a for a, _ in found} <= ended
+    into = {}
+    for a, b, m, v in edges:
+        into.setdefault(b, []).append((a, m / v * 3.6))
+    for a, b in pairs:
+        if a in ended and b in costs[a]:  # back along the best way
+            while b != a:
+                assert (a, b) in found
+                b = min((costs[a][p] + w, p) for p, w in into[b] if p in costs[a])[1]
+    assert (not left) == all_end
