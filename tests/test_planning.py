@@ -189,7 +189,7 @@ def test_matrix_writes_few_rows(spark):
     from wattroute.operators.rounds import matching, stored
 
     stored(spark.range(1))
-    made = lambda: {f for f in matching(spark, f"{spark.sparkContext.getCheckpointDir()}/*/part-*")}
+    made = lambda: set(matching(spark, f"{spark.sparkContext.getCheckpointDir()}/*/part-*"))
     edges, search = grid(20)
     pairs = [(a, a + k) for a in range(400) for k in (0, 1, 2, 20, 21, 42) if a + k < 400]
     before = made()
